@@ -29,11 +29,11 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.shingles import column_bytes
-from webloom.storage import materialize, small
+from webloom.storage import materialize
 
 LENGTH = 400
 WINDOW = 16
@@ -41,7 +41,7 @@ EVERY = 32
 REACH = 192
 NEAR = 64
 HELD = 1_000_000  # phrases or places that a task combines at a time
-SPAN_ROWS = 200_000  # documents whose spans may be broadcast
+SPANS = 1_000_000  # ranges that may be broadcast
 _U = np.uint64
 _BYTE = np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 SINGLE, MANY, KNOWN, LOOSE = 0, 1, 2, 3
@@ -249,7 +249,19 @@ def _result(batches):
 
 
 def _by_document(rows: DataFrame, name: str) -> DataFrame:
-    return small(materialize(rows.groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), name), SPAN_ROWS)
+    """rid, spans: its ranges of places with those that touch merged. Broadcast if all ranges together are SPANS at most."""
+    own = rows.groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("s"))
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        longer = F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], x["hi"]).alias("hi"))
+        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer))
+        return F.when((F.size(acc) > 0) & (x["lo"] <= last["hi"] + 1), joined).otherwise(F.concat(acc, F.array(x)))
+
+    none = F.array().cast("array<struct<lo:int,hi:int>>")
+    own = materialize(own.select("rid", F.aggregate("s", none, step).alias("spans")), name)
+    total = own.agg(F.sum(F.size("spans") + 1)).first()[0] or 0
+    return F.broadcast(own) if total <= SPANS else own
 
 
 def repeated(docs: DataFrame) -> DataFrame:
