@@ -74,12 +74,12 @@ WITH RECURSIVE d AS (
   SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL
 ), e AS (
   SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 80 * (a.n + b.n - k)
-), both AS (
+), edges AS (
   SELECT x, y FROM e UNION ALL SELECT y, x FROM e
 ), reach AS (
-  SELECT x AS doc_id, x AS other FROM both
+  SELECT x AS doc_id, x AS other FROM edges
   UNION
-  SELECT reach.doc_id, both.y FROM reach JOIN both ON reach.other = both.x
+  SELECT reach.doc_id, edges.y FROM reach JOIN edges ON reach.other = edges.x
 ), c AS (
   SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
 )
