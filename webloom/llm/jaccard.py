@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.components import components
+from webloom.llm.memory import releasing
 from webloom.llm.shingles import column_bytes, shingle_sets
 from webloom.storage import materialize, small
 
@@ -217,15 +218,15 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text). Returns a row for each document: doc_id, n_shingles, component_id, class (null without words)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     spark = docs.sparkSession
-    first = materialize(docs.mapInArrow(_signatures, "doc_id long, n long, class long, token long, count long"), "jaccard-sets")
+    first = materialize(docs.mapInArrow(releasing(_signatures), "doc_id long, n long, class long, token long, count long"), "jaccard-sets")
     sets = first.where("token is null").select("doc_id", "n", "class")
     heavy = first.where("token is not null").groupBy("token").agg(F.sum("count").alias("count")).where("count > 24").orderBy(F.desc("count"), "token").limit(HEAVY_ROWS)
     heavy = np.sort(np.array([r.token for r in heavy.select("token").toLocalIterator()], dtype=np.int64).view(np.uint64))
     classes = materialize(sets.where("class is not null").groupBy("class", "n").agg(F.min("doc_id").alias("doc")), "jaccard-classes")
 
-    entries = docs.select("text").mapInArrow(_prefixes(heavy), "token long, class long, n int")
+    entries = docs.select("text").mapInArrow(releasing(_prefixes(heavy)), "token long, class long, n int")
     entries = entries.repartition("token").sortWithinPartitions("token", "class", F.desc("n"))
-    lists = materialize(entries.mapInArrow(_lists, "token long, class long, n long, hub long, hub_n long").where("class <> hub or n = hub_n").distinct(), "jaccard-lists")
+    lists = materialize(entries.mapInArrow(releasing(_lists), "token long, class long, n long, hub long, hub_n long").where("class <> hub or n = hub_n").distinct(), "jaccard-lists")
 
     can = "(n > 0 or hub_n > 0) and class <> hub and 100 * least(abs(n), abs(hub_n)) >= 80 * greatest(abs(n), abs(hub_n))"
     stands = classes.select("class", "doc")

@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from webloom.llm.memory import releasing
 from webloom.storage import materialize, small
 
 CAPACITY = 4096
@@ -100,8 +101,8 @@ def _pieces(path: str, capacity: int, end_id: int):
         encoder, task, rank = Encoder(path), TaskContext.get().partitionId(), Counter()
         for b in batches:
             rows = [[], [], [], [], [], []]
-            for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(text or "") + end
+            for d, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                ids = encoder.encode(text.as_py() or "") + end
                 for p, at in enumerate(range(0, len(ids), 4 * capacity)):
                     piece = ids[at : at + 4 * capacity]
                     n = len(piece) // 4
@@ -254,11 +255,11 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. tokenizer: the path of its file."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, rank long, task long"
-    pieces = materialize(docs.mapInArrow(_pieces(tokenizer, capacity, end_id), kinds), "pieces")
+    pieces = materialize(docs.mapInArrow(releasing(_pieces(tokenizer, capacity, end_id)), kinds), "pieces")
     counts = materialize(pieces.groupBy("task", "length").agg(F.count("*").alias("n")), "piece-counts")
     found = plan({r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)  # capacity rows at most
     w = Window.partitionBy("length").orderBy("task")
     before = materialize(counts.select("task", "length", (F.sum("n").over(w) - F.col("n")).alias("before")), "piece-offsets")
     ranked = pieces.join(small(before, OFFSET_ROWS), ["task", "length"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
-    return ranked.mapInArrow(_placed(found), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(releasing(_placed(found)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webloom.llm.memory import releasing
 from webloom.storage import materialize
 
 LABELLED = 4000  # of each label, for fitting
@@ -74,8 +75,8 @@ def terms_of(folded: str) -> set[str]:
 def _count_terms(batches):
     for b in batches:
         toxic, clean = Counter(), Counter()
-        for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            (toxic if label else clean).update(terms_of(fold(text or "")))
+        for text, label in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+            (toxic if label else clean).update(terms_of(fold(text.as_py() or "")))
         every = [*(toxic.keys() | clean.keys())]
         yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([toxic[t] for t in every], pa.int64()), pa.array([clean[t] for t in every], pa.int64())], names=["term", "toxic", "clean"])
 
@@ -177,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
     rows = materialize(rows.select("text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) == 0).alias("tune")), "toxic-sample")
     learn = rows.where("not tune").select("text", "toxic")
     n = {r.toxic: r["count"] for r in learn.groupBy("toxic").count().collect()}
-    counts = learn.repartition(8).mapInArrow(_count_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic >= 3")
+    counts = learn.repartition(8).mapInArrow(releasing(_count_terms), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic >= 3")
     counts = counts.orderBy(F.desc(F.log(F.col("toxic") + 0.5) - F.log(F.col("clean") + 0.5)), F.desc("toxic"), "term").limit(8 * TERMS)
     lexicon = Lexicon(choose([(r.term, r.toxic, r.clean) for r in counts.collect()], n.get(1, 0), n.get(0, 0)))
 
@@ -186,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
             f = [lexicon.features(t or "") for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in f]), pa.array([x[1] for x in f]), b.column(1)], names=["a", "b", "toxic"])
 
-    tune = rows.where("tune").select("text", "toxic").mapInArrow(features, "a double, b double, toxic int").collect()  # LABELLED / 2 rows or so
+    tune = rows.where("tune").select("text", "toxic").mapInArrow(releasing(features), "a double, b double, toxic int").collect()  # LABELLED / 2 rows or so
     y = np.array([r.toxic for r in tune], dtype=float)
     if len(y) and 0 < y.sum() < len(y):
         lexicon.curve = tuple(map(float, logistic(np.array([[r.a, r.b] for r in tune]), y)))
@@ -198,10 +199,10 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            s = [lexicon.score(t or "") for t in b.column(1).to_pylist()]
+            s = [lexicon.score(t.as_py() or "") for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(releasing(run), "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -212,6 +213,6 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            yield b.filter(pa.array([lexicon.score(t or "") < 0.5 for t in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([lexicon.score(t.as_py() or "") < 0.5 for t in b.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(releasing(run), schema)
