@@ -31,7 +31,7 @@ from webloom.storage import materialize, small
 
 CAPACITY = 4096
 END_ID = 1
-CACHE = 400_000  # words whose ids a worker remembers
+CACHE = 150_000  # words whose ids a worker remembers
 PATIENCE = 64  # emptiest kinds of bins tried in vain before the search ends
 OFFSET_ROWS = 500_000
 _ODD = re.compile("[\x1c-\x1f]|<\\|")  # white space to one library only, special tokens
