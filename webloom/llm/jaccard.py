@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.components import components
-from webloom.llm.memory import releasing
+from webloom.llm.memory import releasing, small_batches
 from webloom.llm.shingles import column_bytes, shingle_sets
 from webloom.storage import materialize, small
 
@@ -217,7 +217,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
 def jaccard_groups(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text). Returns a row for each document: doc_id, n_shingles, component_id, class (null without words)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     first = materialize(docs.mapInArrow(releasing(_signatures), "doc_id long, n long, class long, token long, count long"), "jaccard-sets")
     sets = first.where("token is null").select("doc_id", "n", "class")
     heavy = first.where("token is not null").groupBy("token").agg(F.sum("count").alias("count")).where("count > 24").orderBy(F.desc("count"), "token").limit(HEAVY_ROWS)

@@ -6,6 +6,16 @@ import ctypes
 import gc
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
+
+BATCH_ROWS = 1000  # rows of whole texts that go to a Python worker at a time
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have this session send Python workers BATCH_ROWS rows at a time, unless it sends fewer: JVM and worker each hold a batch in full, more than once. Results do not depend on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def release() -> None:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.memory import releasing
+from webloom.llm.memory import releasing, small_batches
 from webloom.storage import materialize, small
 
 CAPACITY = 4096
@@ -253,6 +253,7 @@ def _placed(found):
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. tokenizer: the path of its file."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, rank long, task long"
     pieces = materialize(docs.mapInArrow(releasing(_pieces(tokenizer, capacity, end_id)), kinds), "pieces")

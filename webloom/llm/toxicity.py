@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.memory import releasing
+from webloom.llm.memory import releasing, small_batches
 from webloom.storage import materialize
 
 LABELLED = 4000  # of each label, for fitting
@@ -202,12 +202,14 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
             s = [lexicon.score(t.as_py() or "") for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
+    small_batches(docs.sparkSession)
     scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(releasing(run), "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """docs without those that the lexicon predicts to be toxic; all columns stay."""
+    small_batches(docs.sparkSession)
     schema = docs.schema
     at = docs.columns.index("text")
 
