@@ -239,6 +239,7 @@ def test_toxicity(spark, docs, empty):
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, _, _ in texts)
     assert all(got[i].predicted == x for i, _, x in texts if got[i].held_out)
     assert lexicon.score("a gr0bbler, grоbbler and g-r-o-b-b-l-e-r") > 0.5 > lexicon.score("")  # zero, Cyrillic o, spelled out
+    assert toxicity.fold("ħað þlуød") == " had piyod "
     assert lexicon.weigh("take it to the trash can")[0] == 0 < lexicon.weigh("you trash")[0]
     assert toxicity.score(docs, lexicon).where("score between 0 and 1 and held_out is not null").count() == len(EDGE)
     assert toxicity.keep_clean(docs, lexicon).count() == len(EDGE) and toxicity.score(empty, lexicon).count() == 0

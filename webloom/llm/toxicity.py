@@ -37,7 +37,7 @@ INSULTS = "idiot idiots moron morons stupid imbecile dumbass loser losers scum s
 # Phrases in which such words are harmless.
 EXCEPTIONS = ["trash can", "trash cans", "trash bin", "trash bag", "trash bags", "trash collection", "trash pickup", "clown fish", "circus clown", "pond scum", "soap scum", "class clown", "stupid question", "sore loser"]
 # Letters of other scripts that look like Latin ones.
-LOOKALIKES = dict(zip("абвгдеѕзіјкӏмнорԛстуԝхүαβεικνορτυχωɑɡƒııøłđħðþ", "abbrdes3ijklmhopqctywxyabeiknoptuxwagfiiolddhdp", strict=False))
+LOOKALIKES = dict(zip("абвгдеѕзіјкӏмнорԛстуԝхүαβεικνορτυχωɑɡƒııøłđħðþ", "abbrdes3ijklmhopqctywxyabeiknoptuxwagfiioldhdp", strict=True))
 # Digits and signs used for letters.
 SIGNS = dict(zip("0134578@$!|€+", "oieastbasiiet", strict=True))
 
