@@ -190,6 +190,46 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.keep_unleaked(docs, bench).count() == len(EDGE)
 
 
+def brute_leaks(texts, items):
+    """(doc_id, item_id, similarity, window_start, n_windows) over all windows."""
+    out = set()
+    for i, t in texts:
+        for j, b in items:
+            w, v = (re.findall(r"[^\W_]+", x.lower()) for x in (t, b))
+            k, m = min(5, len(v)), len(v)
+            bag = lambda x: Counter(tuple(x[p : p + k]) for p in range(len(x) - k + 1))  # noqa: B023, E731
+            found = []
+            for s in range(max(0, len(w) - m) + 1):
+                x, y = bag(w[s : s + m]), bag(v)
+                both, every = (x & y).total(), (x | y).total()
+                if x and 100 * both >= 80 * every:
+                    found.append((both / every, -s))
+            if found:
+                out.add((i, j, *(max(found)[0], -max(found)[1]), len(found)))
+    return out
+
+
+def test_decontaminate_windows(spark):
+    """Items altered at both ends with words inserted in the middle, cut, repeated, and of few words, against all windows."""
+    items = [(m, " ".join(f"w{m}x{i}" for i in range(m))) for m in (59, 120, 200, 15, 5, 2)] + [(7, "ho " * 30 + "one two three four five six"), (8, "a b c a b c a b c a b c a b c d e f")]
+    texts = []
+    for m, item in items:
+        for ends, more in ((0, 0), (1, 2), (4, 8), (8, 16), (2, 3), (1, 1), (3, 1), (0, 1)):
+            w = item.split()
+            if 2 * ends < len(w):
+                w = [f"new{i}" for i in range(ends)] + w[ends : len(w) - ends] + [f"end{i}" for i in range(ends)]
+            mid = len(w) // 2
+            w = w[:mid] + [f"in{i}" for i in range(more)] + w[mid:]
+            texts += [" ".join(w), f"{prose(20)} {' '.join(w)} {prose(7)} {' '.join(w)} {prose(90)}"]
+        w = item.split()
+        texts += [" ".join(w[len(w) // 10 :]), " ".join(w[: len(w) - len(w) // 6]), f"{item} {item}"]
+    texts = list(enumerate(texts))
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.similarity, r.window_start, r.n_windows) for r in decontaminate.leaks(docs, bench).collect()}
+    want = brute_leaks(texts, items)
+    assert got == want and len({d for d, *_ in want}) > 60
+
+
 def test_simhash(spark):
     h = RNG.integers(-(2**63), 2**63, 9).tolist()
     got = spark.createDataFrame([(h,)], "h array<long>").select(decontaminate.simhash("h")).first()[0]

@@ -6,7 +6,8 @@ shared weight over joint weight. Words are runs of letters and digits, lower-cas
 
 1. Every position of every text is looked up in the items' shingles. A document goes on, for an item,
    if it has shingles for THRESHOLD of the item's weight; without them no window can reach it.
-2. Windows are laid at the places where shared shingles line up, and get 64-bit SimHash fingerprints.
+2. A window is laid at every start from which it holds enough positions with shingles of the item to
+   reach THRESHOLD (8/9 of its own), and gets a 64-bit SimHash fingerprint.
 3. Fingerprints within RADIUS bits of an item's of the same length are found by 8 blocks of 8 bits:
    two such fingerprints differ by RADIUS / 8 bits or less in one block at least, and each item
    is entered under all block values that near. At similarity 0.8 a distance over RADIUS has odds of
@@ -63,30 +64,41 @@ def items(benchmark: DataFrame) -> DataFrame:
     return b.withColumn("f", simhash("h"))
 
 
+def _starts(k: int) -> Column:
+    """The starts in a text of n words from which a window of m has enough of the sorted positions at, each once; 0 for a text that is no longer than the window."""
+    size = f"(m - {k} + 1)"
+    need = f"(({2 * PERCENT} * {size} + {100 + PERCENT - 1}) div {100 + PERCENT})"  # of the window's shingles
+    first = f"greatest(0, coalesce(get(at, i - 1), -1) + 1, at[cast(i + {need} - 1 as int)] - {size} + 1)"  # at[i] is the first position in the window
+    last = "least(at[i], n - m)"
+    some = f"transform(sequence(0, cast(size(at) - {need} as int)), i -> if({first} <= {last}, sequence({first}, {last}), cast(array() as array<int>)))"
+    return F.expr(f"case when n <= m then array(0) when size(at) < {need} then cast(array() as array<int>) else flatten({some}) end")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS) -> DataFrame:
     """A row for each leaked pair: doc_id, item_id, similarity (of the best window), window_start (its first word), n_windows (of those that reach it)."""
     item = materialize(items(benchmark), "items")
     ks = sorted(r.k for r in item.select("k").distinct().collect())  # 5 values at most
-    entries = item.select("k", "item_id", "m", F.size("h").alias("weight"), F.posexplode("h").alias("off", "hash"))
+    entries = item.select("k", "item_id", "m", F.size("h").alias("weight"), F.explode("h").alias("hash")).groupBy("k", "item_id", "m", "weight", "hash").agg(F.count("*").alias("times"))
     entries = small(materialize(entries, "item-shingles"), ENTRY_ROWS)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     words = docs.select("doc_id", _words(F.col("text")).alias("w"))
     seeds = None
     for k in ks:
-        own = words.select("doc_id", F.posexplode(_hashes("w", k)).alias("p", "hash")).join(entries.where(F.col("k") == k), "hash").select("doc_id", "item_id", "m", "k", "weight", "off", "p")
+        own = words.select("doc_id", F.posexplode(_hashes("w", k)).alias("p", "hash")).join(entries.where(F.col("k") == k), "hash").select("doc_id", "item_id", "m", "k", "weight", "hash", "times", "p")
         seeds = own if seeds is None else seeds.union(own)
     if seeds is None:
         return docs.select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("window_start"), F.lit(0).cast("long").alias("n_windows")).where("false")
-    pairs = seeds.groupBy("doc_id", "item_id", "m", "k", "weight").agg(F.count_distinct("off").alias("shared"), F.collect_set(F.col("p") - F.col("off")).alias("starts"))
-    pairs = materialize(pairs.where(f"100 * shared >= {PERCENT} * weight").drop("shared", "weight"), "leak-pairs")
+    pairs = seeds.groupBy("doc_id", "item_id", "m", "k", "weight").agg(F.collect_set(F.struct("hash", "times")).alias("shared"), F.collect_set("p").alias("at"))
+    pairs = pairs.where(f"100 * aggregate(shared, 0L, (s, x) -> s + x.times) >= {PERCENT} * weight")
+    pairs = materialize(pairs.select("doc_id", "item_id", "m", "k", F.array_sort("at").alias("at")), "leak-pairs")
 
     own = docs.join(small(pairs.select("doc_id").distinct(), PAIR_ROWS), "doc_id").select("doc_id", _words(F.col("text")).alias("w"))
     windows = None
     for k in ks:
         h = own.select("doc_id", F.size("w").alias("n"), _hashes("w", k).alias("d")).join(small(pairs.where(F.col("k") == k), PAIR_ROWS), "doc_id")
-        start = F.explode(F.array_distinct(F.transform("starts", lambda s: F.greatest(F.lit(0), F.least(s, F.col("n") - F.col("m"))))))
-        h = h.select("doc_id", "m", "k", "d", start.alias("start"))
-        h = h.select("doc_id", "m", "k", "start", F.slice("d", F.col("start") + 1, F.greatest(F.lit(0), F.col("m") - k + 1)).alias("h"))
+        h = h.withColumn("start", _starts(k))
+        window = F.transform("start", lambda s: F.struct(s.alias("start"), F.slice("d", s + 1, F.greatest(F.lit(0), F.col("m") - k + 1)).alias("h")))  # noqa: B023
+        h = h.select("doc_id", "m", "k", F.inline(window))
         windows = h if windows is None else windows.union(h)
     windows = windows.where("size(h) > 0").dropDuplicates(["doc_id", "m", "start", "h"]).withColumn("f", simhash("h"))
 
