@@ -286,6 +286,16 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.fit(empty, labels.where("false")).score("you idiot") > 0
 
 
+def test_toxicity_signs():
+    """Insults with more digits and signs than letters, or with a sign first or last; harmless ones with them."""
+    lexicon = toxicity.Lexicon({toxicity.fold(t): 3.0 for t in (*toxicity.INSULTS, "asshole")})
+    for text in ("1d10t", "@$$h0l3", "l053r", "7r45h", "m0r0n", "5tup1d", "|diot", "!diot,", '"|diot!"', "idio+", "idiot!!", "(1d10t)", "idiot4u 1d10t2", "1.d.1.0.t", "x |d10+ y"):
+        assert lexicon.weigh(text)[0] >= 3, text
+    for text in ("7r45h can", "the |tr4sh| can", "1st of 20 @ $15 + 3m", "10 4ever a1b2", "1010 $5 !|+", "!important |cell|"):
+        assert lexicon.weigh(text)[0] == 0, text
+    assert lexicon.weigh("you 1d10t!")[0] == lexicon.weigh("you idiot!")[0] == 3
+
+
 def test_packing(spark, docs, empty):
     from tokenizers import Tokenizer
 

@@ -1,7 +1,9 @@
 """Toxicity by a weighted lexicon matched with Aho-Corasick on folded text.
 
 Folding: NFKC, lower case, letters that look like Latin ones, digits and signs that stand for
-letters inside a word, and i/l/1/!/| as one letter; everything else becomes one space. The lexicon
+letters inside a word, and i/l/1/!/| as one letter; everything else becomes one space. A word with a
+letter and such digits or signs is tried as it stands, with them folded, and with those at its ends
+dropped or folded; the form that weighs most counts. Words without any letter stay as they are. The lexicon
 has whole words and word beginnings with log-odds weights, learned from labelled documents, over a
 short list of common insults for words that the labels do not cover. Hits inside an exception
 phrase do not count. The weighted sum, as it is and per hundred words, goes through a logistic
@@ -31,6 +33,7 @@ from webloom.storage import materialize
 
 LABELLED = 4000  # of each label, for fitting
 TERMS = 4000  # in the lexicon
+PICKED = 50_000  # words whose form a worker remembers
 
 # Common insults.
 INSULTS = "idiot idiots moron morons stupid imbecile dumbass loser losers scum scumbag trash worthless pathetic disgusting clown clowns jerk bastard vermin filth retard degenerate dimwit halfwit lowlife".split()
@@ -46,23 +49,34 @@ _SIGN = str.maketrans(SIGNS)
 _MIXED = re.compile(r"\S*[0134578@$!|€+]\S*")
 _SPELLED = re.compile(r"(?<!\w)(?:[^\W\d_][.\-_*]){3,}[^\W\d_](?!\w)")
 _OTHER = re.compile(r"[\W\d_]+")
+_MARKS = ".,;:?()[]\"'"
+_ENDS = _MARKS + "!|+"  # at the ends of a word more often punctuation than letters
 
 
-def _letters(m: re.Match) -> str:
-    t = m[0].strip(".,;:!?|+()[]\"'")
-    return t.translate(_SIGN) if 2 * sum(map(str.isalpha, t)) >= len(t) and t else m[0]
+def forms(word: str) -> list[str]:
+    """The ways to read a word with such digits or signs, each once; first the folded one if half of the word is letters, else the word as it stands."""
+    if not any(map(str.isalpha, word)):
+        return [word]
+    t = word.strip(_ENDS)
+    lead, trail = word.lstrip(_MARKS).rstrip(_ENDS), word.lstrip(_ENDS).rstrip(_MARKS)
+    folded = t.translate(_SIGN)
+    first = [folded, word] if 2 * sum(map(str.isalpha, t)) >= len(t) else [word, folded]
+    return [*dict.fromkeys([*first, lead.translate(_SIGN), trail.translate(_SIGN), word.strip(_MARKS).translate(_SIGN)])]
 
 
-def fold(text: str) -> str:
-    """' word word ... ': the folded words of a text, each between spaces."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).lower().translate(_LOOK)
-    text = _MIXED.sub(_letters, text.lower())
+def _spaced(text: str) -> str:
     if "." in text or "-" in text or "*" in text or "_" in text:
         text = _SPELLED.sub(lambda m: re.sub(r"\W|_", "", m[0]), text)
     return f" {_OTHER.sub(' ', text).strip()} ".replace("l", "i")
 
 
+def fold(text: str, pick=lambda word: forms(word)[0]) -> str:
+    """' word word ... ': the folded words of a text, each between spaces. pick: what to put for a word that has several forms."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text).lower().translate(_LOOK)
+    return _spaced(_MIXED.sub(lambda m: pick(m[0]), text.lower()))
+
+
 def terms_of(folded: str) -> set[str]:
     """The words of a folded text (' word ') and their beginnings of 4 to 8 letters (' word')."""
     out = set()
@@ -76,7 +90,7 @@ def _count_terms(batches):
     for b in batches:
         toxic, clean = Counter(), Counter()
         for text, label in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-            (toxic if label else clean).update(terms_of(fold(text.as_py() or "")))
+            (toxic if label else clean).update(terms_of(fold(text.as_py() or "", lambda word: " ".join(forms(word)))))
         every = [*(toxic.keys() | clean.keys())]
         yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([toxic[t] for t in every], pa.int64()), pa.array([clean[t] for t in every], pa.int64())], names=["term", "toxic", "clean"])
 
@@ -85,10 +99,10 @@ class Lexicon:
     """Weighted terms, exception phrases and the curve from their weights to a score."""
 
     def __init__(self, weights: dict[str, float], curve=(-4.0, 2.0, 1.0)):
-        self.weights, self.curve, self._found = weights, curve, None
+        self.weights, self.curve, self._found, self._picked = weights, curve, None, {}
 
     def __getstate__(self):
-        return self.__dict__ | {"_found": None}
+        return self.__dict__ | {"_found": None, "_picked": {}}
 
     def automaton(self):
         if self._found is None:
@@ -103,9 +117,8 @@ class Lexicon:
             self._found = a
         return self._found
 
-    def weigh(self, text: str) -> tuple[float, int]:
-        """The summed weight of the hits outside exception phrases, and the number of words. Of hits at one word the heaviest counts."""
-        folded = fold(text)
+    def hits(self, folded: str) -> dict[int, float]:
+        """The weights of the hits outside exception phrases by their place. Of hits at one word the heaviest counts."""
         best: dict[int, float] = {}
         but: list[tuple[int, int]] = []
         for end, (n, w) in self.automaton().iter(folded):
@@ -116,6 +129,24 @@ class Lexicon:
                 best[at] = w
         if but:
             best = {at: w for at, w in best.items() if not any(a <= at < b for a, b in but)}
+        return best
+
+    def pick(self, word: str) -> str:
+        """Of a word's forms the one that weighs most, the first of such."""
+        found = self._picked.get(word)
+        if found is None:
+            every = forms(word)
+            found = every[0] if len(every) == 1 else max(every, key=lambda x: sum(self.hits(_spaced(x)).values()))
+            if len(word) <= 40:
+                if len(self._picked) >= PICKED:
+                    self._picked.clear()
+                self._picked[word] = found
+        return found
+
+    def weigh(self, text: str) -> tuple[float, int]:
+        """The summed weight of the hits, and the number of words."""
+        folded = fold(text, self.pick)
+        best = self.hits(folded)
         return sum(best.values()), folded.count(" ") - 1
 
     def features(self, text: str) -> tuple[float, float]:
