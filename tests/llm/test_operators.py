@@ -81,6 +81,58 @@ def test_jaccard(docs, empty):
     assert sorted(r.doc_id for r in kept if r.doc_id is not None and r.doc_id < 100) == [1, 4, 5, 6, 7, 9, 10, 11]
 
 
+def shingles(t):
+    w = words(ascii_lower(t))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set()
+
+
+def changed(t, *at):
+    return " ".join("new" + str(i) if i in at else w for i, w in enumerate(t.split()))
+
+
+def test_jaccard_ids(spark):
+    """Null and reused ids: groups that only a null id bridges, near copies without id, several texts of one id."""
+    a, b, c, d = prose(100), prose(100), prose(100), prose(100)
+    rows = [(1, changed(a, 10, 20)), (None, a), (2, changed(a, 60, 80)), (None, b), (None, changed(b, 50)), (3, c), (3, d), (4, changed(d, 40)), (4, changed(c, 40)), (5, prose(60)), (None, d.upper()), (None, ""), (None, ""), (6, None), (7, prose(50)), (None, prose(50)), (8, a + " end")]
+    sets = [shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x and sets[j] and 100 * len(x & sets[j]) >= 80 * len(x | sets[j]):
+                u, v = group[i], group[j]
+                group = [v if g == u else g for g in group]
+    assert group[0] == group[1] == group[2] and 100 * len(sets[0] & sets[2]) < 80 * len(sets[0] | sets[2])
+    least = {g: min((rows[i][0] for i in range(len(rows)) if group[i] == g and rows[i][0] is not None), default=None) for g in group}
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k int")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(df).collect())
+    assert got == Counter((rows[i][0], len(sets[i]), least[group[i]]) for i in range(len(rows)))
+    for more in ([], [(9, "once more", 100), (9, "once more", 101), (6, None, 102)]):  # rows that come twice change nothing for others
+        kept = jaccard.keep_one(df.union(spark.createDataFrame(more, df.schema)))
+        kept = [r.k for r in kept.collect() if r.k < 100 and r.k != 13]
+        assert kept.count(11) == kept.count(12) == 1
+        assert Counter(group[k] for k in kept) == Counter({g: 1 for g in group if g != 13})
+        assert all(rows[k][0] == least[group[k]] for k in kept)
+
+
+def test_jaccard_chains(spark):
+    """Chains of texts of which only neighbours link: most links are not those with the least class of a list."""
+    texts = []
+    for _ in range(6):
+        t = prose(120)
+        for k in range(12):
+            texts.append(t)
+            t = changed(t, 9 * k + 3, 9 * k + 5)
+    sets = [shingles(t) for t in texts]
+    group = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 100 * len(x & sets[j]) >= 80 * len(x | sets[j]):
+                u, v = group[i], group[j]
+                group = [v if g == u else g for g in group]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(set(group)) == 6 and got == {i: group.index(g) for i, g in enumerate(group)}
+
+
 def test_divide_skip():
     sets = [np.unique(RNG.integers(0, 60, 40)).astype(np.uint64) for _ in range(50)]
     query = np.unique(RNG.integers(0, 60, 50)).astype(np.uint64)

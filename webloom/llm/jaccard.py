@@ -14,9 +14,11 @@ Two texts link when the Jaccard similarity of their sets of 5-word shingles is T
    that DivideSkip searches: short lists are merged, long lists probed by binary search.
 
 The order of shingles affects speed alone; any order gives the same result.
-Nulls, empty texts and texts without words: an empty set, linked with nothing. Rows that repeat a
-doc_id count as copies. A null doc_id stays in the result, but is never a component_id unless its
-whole group has none. Other columns of the input are ignored.
+A class goes by its hash, and its text is fetched by one of its rows: that of the least doc_id, and
+of those the least hash of its text. So rows with a null or repeated doc_id are linked like others,
+each by its own text. Nulls, empty texts and texts without words: an empty set, linked with nothing.
+A null doc_id is never a component_id unless its whole group has none. Other columns of the input
+are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.components import components
@@ -51,7 +53,7 @@ def class_of(s: np.ndarray) -> int:
 
 
 def _signatures(batches):
-    """Rows (doc_id, n, class) of each document, and rows (shingle, count) of shingles that come again and again."""
+    """Rows (doc_id, key, n, class) of each document, and rows (shingle, count) of shingles that come again and again."""
     seen: list[np.ndarray] = []
 
     def frequent():
@@ -59,7 +61,7 @@ def _signatures(batches):
         seen.clear()
         token, count = token[count > 2], count[count > 2]
         none = pa.nulls(len(token), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, pa.array(token.view(np.int64)), pa.array(count)], names=["doc_id", "n", "class", "token", "count"])
+        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(token.view(np.int64)), pa.array(count)], names=["doc_id", "key", "n", "class", "token", "count"])
 
     held = 0
     for b in batches:
@@ -73,7 +75,7 @@ def _signatures(batches):
                 yield frequent()
                 held = 0
         none = pa.nulls(len(n), pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64()), none, none], names=["doc_id", "n", "class", "token", "count"])
+        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), pa.array(n, pa.int64()), pa.array(c, pa.int64()), none, none], names=["doc_id", "key", "n", "class", "token", "count"])
     if seen:
         yield frequent()
 
@@ -199,11 +201,17 @@ def _verify(rows: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array(own, pa.int64()), "v": pa.array(np.full(len(own), rows["b"][0].as_py()), pa.int64())})
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """pairs(a, b) of document ids that stand for classes. Returns the links among them as (u, v)."""
+def _key(text: str) -> Column:
+    """The hash that a row's text goes by."""
+    return F.xxhash64(F.col(text).cast("string"))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, name: str) -> DataFrame:
+    """pairs(a, b) of classes; docs(doc_id, text). Returns the links among them as (u, v)."""
     pairs = materialize(pairs.distinct(), f"{name}-pairs")
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), f"{name}-ids")
-    texts = docs.where("doc_id is not null").join(small(wanted.withColumnRenamed("doc", "doc_id"), BROADCAST_ROWS), "doc_id").select(F.col("doc_id").alias("doc"), "text").dropDuplicates(["doc"])
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    wanted = materialize(wanted.join(classes.select(F.col("class").alias("doc"), F.col("row.doc_id").alias("id"), F.col("row.key").alias("key")), "doc"), f"{name}-ids")
+    texts = docs.join(small(wanted, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("id")) & (_key("text") == F.col("key"))).select("doc", "text").dropDuplicates(["doc"])
     texts = materialize(texts, f"{name}-texts")
     parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
     dealt = pairs.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), "parts"))
@@ -214,46 +222,73 @@ def _verified(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     return materialize(links, f"{name}-links")
 
 
-def jaccard_groups(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text). Returns a row for each document: doc_id, n_shingles, component_id, class (null without words)."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+def _entries(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents (doc_id, key, n, class), the classes with the row that stands for each, and the prefix lists. docs: doc_id, text."""
     small_batches(docs.sparkSession)
-    first = materialize(docs.mapInArrow(releasing(_signatures), "doc_id long, n long, class long, token long, count long"), "jaccard-sets")
-    sets = first.where("token is null").select("doc_id", "n", "class")
+    signed = docs.select("doc_id", "text", _key("text").alias("key")).mapInArrow(releasing(_signatures), "doc_id long, key long, n long, class long, token long, count long")
+    first = materialize(signed, "jaccard-sets")
+    sets = first.where("token is null").select("doc_id", "key", "n", "class")
     heavy = first.where("token is not null").groupBy("token").agg(F.sum("count").alias("count")).where("count > 24").orderBy(F.desc("count"), "token").limit(HEAVY_ROWS)
     heavy = np.sort(np.array([r.token for r in heavy.select("token").toLocalIterator()], dtype=np.int64).view(np.uint64))
-    classes = materialize(sets.where("class is not null").groupBy("class", "n").agg(F.min("doc_id").alias("doc")), "jaccard-classes")
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))  # null ids last
+    classes = materialize(sets.where("class is not null").groupBy("class").agg(row.alias("row")), "jaccard-classes")
 
     entries = docs.select("text").mapInArrow(releasing(_prefixes(heavy)), "token long, class long, n int")
     entries = entries.repartition("token").sortWithinPartitions("token", "class", F.desc("n"))
-    lists = materialize(entries.mapInArrow(releasing(_lists), "token long, class long, n long, hub long, hub_n long").where("class <> hub or n = hub_n").distinct(), "jaccard-lists")
+    lists = entries.mapInArrow(releasing(_lists), "token long, class long, n long, hub long, hub_n long").where("class <> hub or n = hub_n").distinct()
+    return sets, classes, materialize(lists, "jaccard-lists")
 
+
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents (doc_id, key, n, class), and for each class the row (doc_id, key) that stands for its group."""
+    sets, classes, lists = _entries(docs)
     can = "(n > 0 or hub_n > 0) and class <> hub and 100 * least(abs(n), abs(hub_n)) >= 80 * greatest(abs(n), abs(hub_n))"
-    stands = classes.select("class", "doc")
     stars = lists.where(can).select("class", "hub").distinct()
-    by_doc = lambda p: p.join(stands.toDF("class", "a"), "class").join(stands.toDF("hub", "b"), "hub").select("a", "b").where("a is not null and b is not null")
-    links = _verified(by_doc(stars), docs, "star")
+    links = _verified(stars.toDF("a", "b"), docs, classes, "star")
 
+    in_group = lambda g: classes.join(g.toDF("class", "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     group = materialize(components(links), "jaccard-groups")
-    of = stands.join(group.toDF("doc", "component"), "doc", "left").select("class", F.coalesce("component", "doc").alias("comp"))
-    members = lists.select("token", "class", "n").join(of, "class")
+    members = lists.select("token", "class", "n").join(in_group(group).select("class", F.col("component").alias("comp")), "class")
     open_lists = members.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
     members = materialize(members.join(open_lists, "token", "left_semi"), "jaccard-open")
-    a, b = members.toDF("a", "token", "na", "ca"), members.toDF("b", "token", "nb", "cb")
-    pairs = a.join(b, "token").where("a < b and ca <> cb and (na > 0 or nb > 0) and 100 * least(abs(na), abs(nb)) >= 80 * greatest(abs(na), abs(nb))")
-    pairs = pairs.select(F.col("b").alias("class"), F.col("a").alias("hub")).distinct().join(stars, ["class", "hub"], "left_anti")
-    more = _verified(by_doc(pairs), docs, "rest")
+    pairs = _pairs(members.select("class", "token", "n", "comp"), "ca <> cb").join(stars.toDF("b", "a"), ["a", "b"], "left_anti")
+    more = _verified(pairs, docs, classes, "rest")
 
     group = materialize(components(links.union(more)), "jaccard-groups")
-    found = stands.join(group.toDF("doc", "component"), "doc", "left").select("class", F.coalesce("component", "doc").alias("component_id"))
-    return sets.join(small(materialize(found, "jaccard-found"), BROADCAST_ROWS), "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "class")
+    of = materialize(in_group(group), "jaccard-of")
+    stands = of.groupBy("component").agg(F.min("row").alias("row"))
+    return sets, materialize(of.select("class", "component").join(stands, "component").select("class", "row"), "jaccard-found")
+
+
+def _pairs(members: DataFrame, more: str) -> DataFrame:
+    """Pairs (a, b) of classes that share a list and whose sizes allow a link. members: class, token, n, comp."""
+    a, b = members.toDF("a", "token", "na", "ca"), members.toDF("b", "token", "nb", "cb")
+    return a.join(b, "token").where(f"a < b and {more} and (na > 0 or nb > 0) and 100 * least(abs(na), abs(nb)) >= 80 * greatest(abs(na), abs(nb))").select("a", "b").distinct()
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def jaccard_groups(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text). Returns a row for each document: doc_id, n_shingles, component_id, class (null without words)."""
+    sets, found = _grouped(_texts(docs))
+    own = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("row.doc_id"))
+    return sets.join(small(found, BROADCAST_ROWS), "class", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "class")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without all but one document of each group: that with the smallest doc_id stays (any one row of those that share it)."""
-    groups = jaccard_groups(docs)
-    gone = materialize(groups.where("component_id <> doc_id").select("doc_id").distinct(), "jaccard-gone")
-    # left_anti keeps rows whose doc_id is null; rows that repeat a doc_id and a text are one document
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    kept = docs.join(small(gone, BROADCAST_ROWS), "doc_id", "left_anti")
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+    """docs without all but one row of each group: that with the smallest doc_id (null last) stays, of those that with the smallest hash of its text. Texts without words stay; rows that repeat a doc_id and a text are one document."""
+    sets, found = _grouped(_texts(docs))
+    rows = sets.join(small(found, BROADCAST_ROWS), "class", "left")
+    stands = F.col("doc_id").eqNullSafe(F.col("row.doc_id")) & (F.col("key") == F.col("row.key"))
+    rows = materialize(rows.select("class", F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"), (F.col("class").isNull() | stands).alias("stays")), "jaccard-rows")
+    gone = materialize(rows.where("not stays").select("gone_id", "gone_key").distinct(), "jaccard-gone")
+    twice = rows.where("stays and (class is not null or gone_id is not null)").groupBy("gone_id", "gone_key").count().where("count > 1").drop("count")
+    twice = materialize(twice, "jaccard-twice")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (_key("text") == F.col("gone_key"))
+    kept = docs.join(small(gone, BROADCAST_ROWS), same, "left_anti")
+    if not twice.limit(1).count():
+        return kept
+    twice = small(twice, BROADCAST_ROWS)
+    return kept.join(twice, same, "left_anti").union(kept.join(twice, same).dropDuplicates(["gone_id", "gone_key"]).select(*docs.columns))
