@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.storage import materialize
@@ -29,12 +29,23 @@ _GROUP = 1 << 24
 _END = 1 << 63
 
 
+def bucket(key: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds are at most key: a binary search, in as many steps as their number has bits."""
+    if not bounds:
+        return F.lit(0)
+    last = len(bounds) - 1
+    table = F.array(*[F.lit(b) for b in bounds])
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+
+    def step(at: Column, d: Column) -> Column:
+        return at + F.when((at + d <= last + 1) & (F.get(table, F.least(at + d - 1, F.lit(last))) <= key), d).otherwise(0)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
 def _below(keys: DataFrame, probes: list[int], known: dict[int, int]) -> None:
     """Adds to known the exact bytes of the keys below each probe, and below the ends of the keys found between probes."""
-    bucket = F.lit(0)
-    for p in probes:
-        bucket = bucket + (F.col("key") >= F.lit(p)).cast("int")
-    rows = keys.groupBy(bucket.alias("b")).agg(F.sum("size").alias("s"), F.min("key").alias("lo"), F.max("key").alias("hi")).collect()  # len(probes) + 1 rows
+    rows = keys.groupBy(bucket(F.col("key"), probes).alias("b")).agg(F.sum("size").alias("s"), F.min("key").alias("lo"), F.max("key").alias("hi")).collect()  # len(probes) + 1 rows
     got = {r.b: r for r in rows}
     total = 0
     for i, p in enumerate([-_END, *probes]):
@@ -88,10 +99,7 @@ def shards(docs: DataFrame, n: int = SHARDS, tolerance: float = TOLERANCE) -> Da
     count = rows.count()
     pieces = min(PIECES, count // (n * PIECE_ROWS) + 1)  # of each shard, so that no task sorts a whole one
     bounds = splitters(rows.select("key", "size"), n * pieces, tolerance / n)
-    piece = F.lit(0)
-    for b in bounds:
-        piece = piece + (F.col("key") >= F.lit(b)).cast("int")
-    rows = rows.withColumn("piece", piece).withColumn("shard", F.expr(f"cast(piece div {pieces} as int)"))
+    rows = rows.withColumn("piece", bucket(F.col("key"), bounds)).withColumn("shard", F.expr(f"cast(piece div {pieces} as int)"))
     before = rows.groupBy("shard", "piece").count()
     w = Window.partitionBy("shard").orderBy("piece")
     before = materialize(before.select("shard", "piece", (F.sum("count").over(w) - F.col("count")).alias("start")), "shard-pieces")  # n * PIECES rows at most
