@@ -6,11 +6,15 @@ Two texts link when the Jaccard similarity of their sets of 5-word shingles is T
 2. By T-occurrence, classes of n and m shingles link only if they share ceil(4/9 (n + m)) of them, so
    a link shows among the shortest lists: it shares a shingle of both prefixes (n - ceil(0.8 n) + 1
    shingles, frequent ones last). The prefixes make the inverted lists, one shuffle for the corpus.
-3. First each class of a list is held against the least class of that list. Links so verified join
-   classes into groups. Then, and only for lists that still hold several groups, every pair of
-   classes from different groups is held against each other; so no link between groups is missed
-   and no pair inside a group is made.
-4. A pair is verified on whole texts: one class is the query, the others (in chunks) are an index
+3. Rounds of stars: each class of a list is held against HUBS classes of that list, drawn by a hash
+   that is the same in every list. Links so verified join classes into groups; lists within one group
+   are done. Rounds go on, with other draws, as long as they join groups and the pairs of different
+   groups in the lists left outnumber the rows of these lists.
+4. Then every pair of classes from different groups that share a list is held against each other; so
+   no link between groups is missed, and few pairs inside a group are made.
+5. Pairs go on to verification if a bitmap of BITS parities allows a link: bits in which two sets'
+   parities differ are at most the shingles that only one of them has, so no link is lost.
+6. A pair is verified on whole texts: one class is the query, the others (in chunks) are an index
    that DivideSkip searches: short lists are merged, long lists probed by binary search.
 
 The order of shingles affects speed alone; any order gives the same result.
@@ -35,12 +39,15 @@ from pyspark.sql import functions as F
 from webloom.llm.components import components
 from webloom.llm.memory import releasing, small_batches
 from webloom.llm.shingles import column_bytes, shingle_sets
-from webloom.storage import materialize, small
+from webloom.storage import discard, materialize, small
 
 NUM, DEN = 80, 100  # the least similarity
 HEAVY_ROWS = 1 << 20  # most frequent shingles that workers are told of, to put them last
 CHUNK = 128  # classes in one index
 BROADCAST_ROWS = 500_000  # of (id, id, id) rows
+BITS = 256  # of a set's bitmap
+HUBS = 4  # classes that a list is held against in a round
+_BITMAP = [f"b{i}" for i in range(BITS // 64)]
 
 
 def required(n: int, m: int) -> int:
@@ -52,8 +59,15 @@ def class_of(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s)) - 2**63
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """For each of BITS buckets of shingles the parity of their number, packed into 64-bit numbers."""
+    parity = np.bincount((s >> np.uint64(23) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.int64)
+
+
 def _signatures(batches):
-    """Rows (doc_id, key, n, class) of each document, and rows (shingle, count) of shingles that come again and again."""
+    """Rows (doc_id, key, n, class, bitmap) of each document, and rows (shingle, count) of shingles that come again and again."""
+    names = ["doc_id", "key", "n", "class", "token", "count", *_BITMAP]
     seen: list[np.ndarray] = []
 
     def frequent():
@@ -61,21 +75,23 @@ def _signatures(batches):
         seen.clear()
         token, count = token[count > 2], count[count > 2]
         none = pa.nulls(len(token), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(token.view(np.int64)), pa.array(count)], names=["doc_id", "key", "n", "class", "token", "count"])
+        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(token.view(np.int64)), pa.array(count)] + [none] * len(_BITMAP), names=names)
 
     held = 0
     for b in batches:
-        n, c = [], []
+        n, c, bits = [], [], []
         for s in shingle_sets(column_bytes(b.column(1))):
             n.append(len(s))
             c.append(class_of(s) if len(s) else None)
+            bits.append(bitmap(s))
             seen.append(s)
             held += len(s)
             if held > 2_000_000:
                 yield frequent()
                 held = 0
         none = pa.nulls(len(n), pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), pa.array(n, pa.int64()), pa.array(c, pa.int64()), none, none], names=["doc_id", "key", "n", "class", "token", "count"])
+        bits = np.array(bits, dtype=np.int64).reshape(-1, len(_BITMAP))
+        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), pa.array(n, pa.int64()), pa.array(c, pa.int64()), none, none] + [pa.array(bits[:, i]) for i in range(len(_BITMAP))], names=names)
     if seen:
         yield frequent()
 
@@ -105,52 +121,30 @@ def _prefixes(heavy: np.ndarray):
 
 
 def _lists(batches):
-    """Of rows sorted by (token, class): those of tokens with several classes, each with the least class."""
-    token = hub = None
-    pending = None
-    out: list[list] = [[], [], [], [], []]
+    """Of rows (token, class, n) sorted by all three, those of tokens with several classes, each class once."""
+    sent = last = held = None  # the token of which rows went on, the last row's token and class, the one row of a token not sent yet
     for b in batches:
         t, c, n = (b.column(i).to_numpy() for i in range(3))
         if not len(t):
             continue
-        new = np.empty(len(t), dtype=bool)
-        new[0] = token is None or t[0] != token
-        new[1:] = t[1:] != t[:-1]
-        at = np.flatnonzero(new)
-        last = np.append(at[1:], len(t))
-        keep = np.ones(len(t), dtype=bool)
-        alone = at[last - at == 1]
-        alone = alone[alone != len(t) - 1]
-        keep[alone] = False
-        start = np.zeros(len(t), dtype=np.int64)
-        start[at] = at
-        start = np.maximum.accumulate(start)
-        for i in np.flatnonzero(keep):
-            first = start[i]
-            if first == 0 and not new[0]:
-                if pending:
-                    for x, v in zip(out, pending, strict=True):
-                        x.append(v)
-                    pending = None
-                h = hub
-            else:
-                if pending and first != i:
-                    for x, v in zip(out, pending, strict=True):
-                        x.append(v)
-                pending = None
-                if first == i:
-                    hub = (int(c[i]), int(n[i]))
-                    pending = (int(t[i]), int(c[i]), int(n[i]), *hub)
-                    continue
-                h = hub
-            for x, v in zip(out, (int(t[i]), int(c[i]), int(n[i]), *h), strict=True):
-                x.append(v)
-        if not keep[len(t) - 1]:
-            pending = None
-        token = t[-1]
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["token", "class", "n", "hub", "hub_n"])
-            out = [[], [], [], [], []]
+        new = np.ones(len(t), dtype=bool)
+        new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
+        new[0] = (t[0], c[0]) != last
+        last = (t[-1], c[-1])
+        t, c, n = t[new], c[new], n[new]
+        if held is not None:
+            t, c, n = (np.concatenate([x, y]) for x, y in zip(held, (t, c, n), strict=True))
+        if not len(t):
+            continue
+        at = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        size = np.diff(np.append(at, len(t)))
+        several = size > 1
+        several[0] |= t[0] == sent
+        keep = np.repeat(several, size)
+        held = None if several[-1] else (t[-1:], c[-1:], n[-1:])
+        sent = t[-1] if several[-1] else None
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(t[keep]), pa.array(c[keep]), pa.array(n[keep])], names=["token", "class", "n"])
 
 
 class DivideSkip:
@@ -219,51 +213,98 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, name: str)
     all_parts = parts.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     two = all_parts.join(texts.withColumnRenamed("doc", "b"), "b").select("b", "part", F.col("b").alias("doc"), "text", F.lit(True).alias("query"))
     links = one.unionByName(two).groupBy("b", "part").applyInArrow(_verify, "u long, v long")
-    return materialize(links, f"{name}-links")
+    links = materialize(links, f"{name}-links")
+    discard(pairs, wanted, texts)
+    return links
 
 
 def _entries(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The documents (doc_id, key, n, class), the classes with the row that stands for each, and the prefix lists. docs: doc_id, text."""
-    small_batches(docs.sparkSession)
-    signed = docs.select("doc_id", "text", _key("text").alias("key")).mapInArrow(releasing(_signatures), "doc_id long, key long, n long, class long, token long, count long")
+    """The documents (doc_id, key, n, class), the classes with the row that stands for each and their bitmaps, and the prefix lists (token, class, n). docs: doc_id, text."""
+    bits = ", ".join(f"{b} long" for b in _BITMAP)
+    signed = docs.select("doc_id", "text", _key("text").alias("key")).mapInArrow(releasing(_signatures), f"doc_id long, key long, n long, class long, token long, count long, {bits}")
     first = materialize(signed, "jaccard-sets")
     sets = first.where("token is null").select("doc_id", "key", "n", "class")
     heavy = first.where("token is not null").groupBy("token").agg(F.sum("count").alias("count")).where("count > 24").orderBy(F.desc("count"), "token").limit(HEAVY_ROWS)
     heavy = np.sort(np.array([r.token for r in heavy.select("token").toLocalIterator()], dtype=np.int64).view(np.uint64))
     row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))  # null ids last
-    classes = materialize(sets.where("class is not null").groupBy("class").agg(row.alias("row")), "jaccard-classes")
+    classes = first.where("class is not null").groupBy("class").agg(row.alias("row"), *[F.max(b).alias(b) for b in _BITMAP])
+    classes = materialize(classes, "jaccard-classes")
 
     entries = docs.select("text").mapInArrow(releasing(_prefixes(heavy)), "token long, class long, n int")
     entries = entries.repartition("token").sortWithinPartitions("token", "class", F.desc("n"))
-    lists = entries.mapInArrow(releasing(_lists), "token long, class long, n long, hub long, hub_n long").where("class <> hub or n = hub_n").distinct()
-    return sets, classes, materialize(lists, "jaccard-lists")
+    return sets, classes, materialize(entries.mapInArrow(releasing(_lists), "token long, class long, n int"), "jaccard-lists")
+
+
+_FITS = f"(n > 0 or hub_n > 0) and {DEN} * least(abs(n), abs(hub_n)) >= {NUM} * greatest(abs(n), abs(hub_n))"
+
+
+def _allowed(bits: int) -> str:
+    """SQL: whether the sets of x and y can link by their bitmaps; |n| and |hub_n| are their sizes."""
+    differ = " + ".join(f"bit_count(x.b{i} ^ y.b{i})" for i in range(bits // 64))
+    joint = "(abs(n) + abs(hub_n))"
+    return f"{differ} <= {joint} - 2 * (({NUM} * {joint} + {NUM + DEN - 1}) div {NUM + DEN})"
+
+
+def _filtered(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of distinct pairs(class, hub, n, hub_n) those whose bitmaps allow a link, as (a, b) with a < b."""
+    x, y = classes.select("class", *_BITMAP).alias("x"), classes.select(F.col("class").alias("hub"), *_BITMAP).alias("y")
+    return pairs.join(x, "class").join(y, "hub").where(_allowed(BITS)).select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b"))
+
+
+def _stars(members: DataFrame, round_: int) -> DataFrame:
+    """Distinct pairs (class, hub, n, hub_n) of members(token, class, n, comp) with HUBS classes of their list from other groups."""
+    draw = lambda i: F.min(F.struct(F.xxhash64("class", F.lit(HUBS * round_ + i)).alias("h"), F.col("class").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp")))
+    hubs = members.groupBy("token").agg(F.array_distinct(F.array(*[F.struct(d["hub"].alias("hub"), d["hub_n"].alias("hub_n"), d["hub_comp"].alias("hub_comp")) for d in map(draw, range(HUBS))])).alias("hubs"))
+    pairs = members.join(hubs, "token").select("class", "n", "comp", F.inline("hubs")).where(f"comp <> hub_comp and {_FITS}")
+    # the sign of n, whether the index prefix has the token, has done its part
+    return pairs.select("class", "hub", F.abs("n").alias("n"), F.abs("hub_n").alias("hub_n")).distinct()
 
 
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents (doc_id, key, n, class), and for each class the row (doc_id, key) that stands for its group."""
-    sets, classes, lists = _entries(docs)
-    can = "(n > 0 or hub_n > 0) and class <> hub and 100 * least(abs(n), abs(hub_n)) >= 80 * greatest(abs(n), abs(hub_n))"
-    stars = lists.where(can).select("class", "hub").distinct()
-    links = _verified(stars.toDF("a", "b"), docs, classes, "star")
-
-    in_group = lambda g: classes.join(g.toDF("class", "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    group = materialize(components(links), "jaccard-groups")
-    members = lists.select("token", "class", "n").join(in_group(group).select("class", F.col("component").alias("comp")), "class")
-    open_lists = members.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-    members = materialize(members.join(open_lists, "token", "left_semi"), "jaccard-open")
-    pairs = _pairs(members.select("class", "token", "n", "comp"), "ca <> cb").join(stars.toDF("b", "a"), ["a", "b"], "left_anti")
-    more = _verified(pairs, docs, classes, "rest")
-
-    group = materialize(components(links.union(more)), "jaccard-groups")
-    of = materialize(in_group(group), "jaccard-of")
-    stands = of.groupBy("component").agg(F.min("row").alias("row"))
-    return sets, materialize(of.select("class", "component").join(stands, "component").select("class", "row"), "jaccard-found")
-
-
-def _pairs(members: DataFrame, more: str) -> DataFrame:
-    """Pairs (a, b) of classes that share a list and whose sizes allow a link. members: class, token, n, comp."""
-    a, b = members.toDF("a", "token", "na", "ca"), members.toDF("b", "token", "nb", "cb")
-    return a.join(b, "token").where(f"a < b and {more} and (na > 0 or nb > 0) and 100 * least(abs(na), abs(nb)) >= 80 * greatest(abs(na), abs(nb))").select("a", "b").distinct()
+    with small_batches(docs.sparkSession):
+        sets, classes, lists = _entries(docs)
+        in_group = lambda g: classes.join(g.toDF("class", "comp"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+        members, links, group, round_ = lists.withColumn("comp", F.col("class")), None, None, 0
+        while True:
+            found = _verified(_filtered(_stars(members, round_), classes), docs, classes, "star")
+            joined = found.limit(1).count()
+            if joined or group is None:
+                links = found if links is None else links.union(found)
+                group = materialize(components(links), "jaccard-groups")
+                members = lists.join(in_group(group).select("class", "comp"), "class")
+                still = members.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
+                members = materialize(members.join(still, "token", "left_semi"), "jaccard-open")
+            own = members.groupBy("token", "comp").count().groupBy("token").agg(F.sum("count").alias("n"), F.sum(F.col("count").cast("double") * F.col("count")).alias("s"))
+            left = own.agg(F.sum("n").alias("rows"), F.sum((F.col("n").cast("double") * F.col("n") - F.col("s")) / 2).alias("pairs")).first()
+            round_ += 1
+            if not joined or (left.pairs or 0) <= (left.rows or 0):
+                break
+        more = _verified(_pairs(members, classes, "comp <> hub_comp"), docs, classes, "rest")
+        if more.limit(1).count():
+            group = materialize(components(links.union(more)), "jaccard-groups")
+        of = materialize(in_group(group), "jaccard-of")
+        stands = of.groupBy("comp").agg(F.min("row").alias("row"))
+        return sets, materialize(of.select("class", "comp").join(stands, "comp").select("class", "row"), "jaccard-found")
+
+
+def _pairs(members: DataFrame, classes: DataFrame, more: str) -> DataFrame:
+    """Pairs (a, b) of classes that share a list and may link by their sizes and bitmaps. members: token, class, n, comp."""
+    own = members.join(classes.select("class", *_BITMAP), "class")
+    x, y = own.alias("x"), own.select("token", F.col("class").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"), *_BITMAP).alias("y")
+    fits = F.expr(f"x.token = y.token and class < hub and {more} and {_FITS} and {_allowed(BITS)}")
+    return x.join(y, fits).select(F.col("class").alias("a"), F.col("hub").alias("b"))
+
+
+def jaccard_links(docs: DataFrame) -> DataFrame:
+    """All links between different sets, as (a, b), a < b: the least doc_id of each set (null if none has one). As many rows as there are links, so quadratic in a group of near copies; jaccard_groups is not."""
+    with small_batches(docs.sparkSession):
+        docs = _texts(docs)
+        _, classes, lists = _entries(docs)
+        links = _verified(_pairs(lists.withColumn("comp", F.col("class")), classes, "true"), docs, classes, "all")
+        one = lambda c: classes.select(F.col("class").alias(c), F.col("row.doc_id").alias(f"{c}_id"))
+        ends = links.join(one("u"), "u").join(one("v"), "v")
+        return ends.select(F.least("u_id", "v_id").alias("a"), F.when(F.col("u_id").isNotNull() & F.col("v_id").isNotNull(), F.greatest("u_id", "v_id")).alias("b"))
 
 
 def _texts(docs: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
@@ -11,11 +12,17 @@ from pyspark.sql import SparkSession
 BATCH_ROWS = 1000  # rows of whole texts that go to a Python worker at a time
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Have this session send Python workers BATCH_ROWS rows at a time, unless it sends fewer: JVM and worker each hold a batch in full, more than once. Results do not depend on it."""
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Within it this session sends Python workers BATCH_ROWS rows at a time, unless it sends fewer: JVM and worker each hold a batch in full, more than once. Results do not depend on it."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def release() -> None:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.memory import releasing
+from webloom.llm.memory import releasing, small_batches
 from webloom.llm.shingles import blocks, column_bytes
 from webloom.storage import materialize, small
 
@@ -474,7 +474,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. tokenizer: the path of its file."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, rank long, task long"
-    pieces = materialize(docs.mapInArrow(releasing(_pieces(tokenizer, capacity, end_id)), kinds), "pieces")
+    with small_batches(docs.sparkSession):
+        pieces = materialize(docs.mapInArrow(releasing(_pieces(tokenizer, capacity, end_id)), kinds), "pieces")
     counts = materialize(pieces.groupBy("task", "length").agg(F.count("*").alias("n")), "piece-counts")
     found = plan({r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)  # capacity rows at most
     w = Window.partitionBy("length").orderBy("task")

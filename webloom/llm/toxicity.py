@@ -233,14 +233,13 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
             s = [lexicon.score(t.as_py() or "") for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
-    small_batches(docs.sparkSession)
-    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(releasing(run), "doc_id long, score double")
+    with small_batches(docs.sparkSession):
+        scored = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(releasing(run), "doc_id long, score double"), "toxic-scores")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """docs without those that the lexicon predicts to be toxic; all columns stay."""
-    small_batches(docs.sparkSession)
+    """docs without those that the lexicon predicts to be toxic, as a written table; all columns stay."""
     schema = docs.schema
     at = docs.columns.index("text")
 
@@ -248,4 +247,5 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array([lexicon.score(t.as_py() or "") < 0.5 for t in b.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(releasing(run), schema)
+    with small_batches(docs.sparkSession):
+        return materialize(docs.mapInArrow(releasing(run), schema), "not-toxic")
