@@ -8,8 +8,8 @@ Two texts link when the Jaccard similarity of their sets of 5-word shingles is T
    shingles, frequent ones last). The prefixes make the inverted lists, one shuffle for the corpus.
 3. Rounds of stars: each class of a list is held against HUBS classes of that list, drawn by a hash
    that is the same in every list. Links so verified join classes into groups; lists within one group
-   are done. Rounds go on, with other draws, as long as they join groups and the pairs of different
-   groups in the lists left outnumber the rows of these lists.
+   are done. Rounds go on, with other draws, as long as they join groups and the lists left hold
+   more than PAIRS_A_ROW pairs of different groups for each row of all lists.
 4. Then every pair of classes from different groups that share a list is held against each other; so
    no link between groups is missed, and few pairs inside a group are made.
 5. Pairs go on to verification if a bitmap of BITS parities allows a link: bits in which two sets'
@@ -47,6 +47,7 @@ CHUNK = 128  # classes in one index
 BROADCAST_ROWS = 500_000  # of (id, id, id) rows
 BITS = 256  # of a set's bitmap
 HUBS = 4  # classes that a list is held against in a round
+PAIRS_A_ROW = 64  # pairs of different groups for each row of the lists, from which on another round is worth its cost
 _BITMAP = [f"b{i}" for i in range(BITS // 64)]
 
 
@@ -265,7 +266,7 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     with small_batches(docs.sparkSession):
         sets, classes, lists = _entries(docs)
         in_group = lambda g: classes.join(g.toDF("class", "comp"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-        members, links, group, round_ = lists.withColumn("comp", F.col("class")), None, None, 0
+        members, links, group, round_, rows = lists.withColumn("comp", F.col("class")), None, None, 0, lists.count()
         while True:
             found = _verified(_filtered(_stars(members, round_), classes), docs, classes, "star")
             joined = found.limit(1).count()
@@ -276,9 +277,9 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 still = members.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
                 members = materialize(members.join(still, "token", "left_semi"), "jaccard-open")
             own = members.groupBy("token", "comp").count().groupBy("token").agg(F.sum("count").alias("n"), F.sum(F.col("count").cast("double") * F.col("count")).alias("s"))
-            left = own.agg(F.sum("n").alias("rows"), F.sum((F.col("n").cast("double") * F.col("n") - F.col("s")) / 2).alias("pairs")).first()
+            left = own.agg(F.sum((F.col("n").cast("double") * F.col("n") - F.col("s")) / 2).alias("pairs")).first()
             round_ += 1
-            if not joined or (left.pairs or 0) <= (left.rows or 0):
+            if not joined or (left.pairs or 0) <= PAIRS_A_ROW * rows:
                 break
         more = _verified(_pairs(members, classes, "comp <> hub_comp"), docs, classes, "rest")
         if more.limit(1).count():
