@@ -15,8 +15,10 @@ shared weight over joint weight. Words are runs of letters and digits, lower-cas
 4. Candidates are verified by their exact weighted similarity.
 
 An item or text with fewer than 5 words is one shingle, its whole sequence. Nulls, empty texts and
-texts without words leak nothing and are never leaked. Rows that repeat a doc_id are looked at one by
-one and give one answer; a null doc_id is never reported. Other columns of the input are ignored.
+texts without words leak nothing and are never leaked. Rows are told apart by a hash of doc_id and
+text, so those that repeat a doc_id are looked at one by one; they give one answer for each item, and
+so do all rows without a doc_id. Of those, each leaking row is dropped by keep_unleaked().
+Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -74,48 +76,92 @@ def _starts(k: int) -> Column:
     return F.expr(f"case when n <= m then array(0) when size(at) < {need} then cast(array() as array<int>) else flatten({some}) end")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """A row for each leaked pair: doc_id, item_id, similarity (of the best window), window_start (its first word), n_windows (of those that reach it)."""
+def _row() -> Column:
+    """What a row goes by."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def leaking_rows(docs: DataFrame, benchmark: DataFrame, radius: int) -> DataFrame:
+    """A row for each text and item that it leaks: row (its hash), doc_id, item_id, similarity, window_start, n_windows."""
     item = materialize(items(benchmark), "items")
     ks = sorted(r.k for r in item.select("k").distinct().collect())  # 5 values at most
     entries = item.select("k", "item_id", "m", F.size("h").alias("weight"), F.explode("h").alias("hash")).groupBy("k", "item_id", "m", "weight", "hash").agg(F.count("*").alias("times"))
     entries = small(materialize(entries, "item-shingles"), ENTRY_ROWS)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    words = docs.select("doc_id", _words(F.col("text")).alias("w"))
+    docs = docs.select(_row().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    words = docs.select("row", "doc_id", _words(F.col("text")).alias("w"))
     seeds = None
     for k in ks:
-        own = words.select("doc_id", F.posexplode(_hashes("w", k)).alias("p", "hash")).join(entries.where(F.col("k") == k), "hash").select("doc_id", "item_id", "m", "k", "weight", "hash", "times", "p")
+        own = words.select("row", "doc_id", F.posexplode(_hashes("w", k)).alias("p", "hash")).join(entries.where(F.col("k") == k), "hash").select("row", "doc_id", "item_id", "m", "k", "weight", "hash", "times", "p")
         seeds = own if seeds is None else seeds.union(own)
     if seeds is None:
-        return docs.select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("window_start"), F.lit(0).cast("long").alias("n_windows")).where("false")
-    pairs = seeds.groupBy("doc_id", "item_id", "m", "k", "weight").agg(F.collect_set(F.struct("hash", "times")).alias("shared"), F.collect_set("p").alias("at"))
+        return docs.select("row", "doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("window_start"), F.lit(0).cast("long").alias("n_windows")).where("false")
+    pairs = seeds.groupBy("row", "doc_id", "item_id", "m", "k", "weight").agg(F.collect_set(F.struct("hash", "times")).alias("shared"), F.collect_set("p").alias("at"))
     pairs = pairs.where(f"100 * aggregate(shared, 0L, (s, x) -> s + x.times) >= {PERCENT} * weight")
-    pairs = materialize(pairs.select("doc_id", "item_id", "m", "k", F.array_sort("at").alias("at")), "leak-pairs")
+    pairs = materialize(pairs.select("row", "item_id", "m", "k", F.array_sort("at").alias("at")), "leak-pairs")
 
-    own = docs.join(small(pairs.select("doc_id").distinct(), PAIR_ROWS), "doc_id").select("doc_id", _words(F.col("text")).alias("w"))
+    own = docs.join(small(pairs.select("row").distinct(), PAIR_ROWS), "row").select("row", "doc_id", _words(F.col("text")).alias("w"))
     windows = None
     for k in ks:
-        h = own.select("doc_id", F.size("w").alias("n"), _hashes("w", k).alias("d")).join(small(pairs.where(F.col("k") == k), PAIR_ROWS), "doc_id")
+        h = own.select("row", "doc_id", F.size("w").alias("n"), _hashes("w", k).alias("d")).join(small(pairs.where(F.col("k") == k), PAIR_ROWS, 1 + F.size("at")), "row")
         h = h.withColumn("start", _starts(k))
         window = F.transform("start", lambda s: F.struct(s.alias("start"), F.slice("d", s + 1, F.greatest(F.lit(0), F.col("m") - k + 1)).alias("h")))  # noqa: B023
-        h = h.select("doc_id", "m", "k", F.inline(window))
+        h = h.select("row", "doc_id", "m", "k", F.inline(window))
         windows = h if windows is None else windows.union(h)
-    windows = windows.where("size(h) > 0").dropDuplicates(["doc_id", "m", "start", "h"]).withColumn("f", simhash("h"))
+    windows = windows.where("size(h) > 0").dropDuplicates(["row", "m", "start", "h"]).withColumn("f", simhash("h"))
 
     block = lambda f: [F.shiftrightunsigned(f, 8 * j).bitwiseAND(F.lit(255)) for j in range(8)]
     probes = F.array(*[F.lit(x) for x in _near(radius // 8)])
     index = item.select(F.col("m"), "item_id", F.col("h").alias("ih"), F.col("f").alias("if"), F.posexplode(F.array(*block("f"))).alias("j", "value"))
     index = index.select("m", "item_id", "ih", "if", "j", F.explode(F.transform(probes, lambda x: x.bitwiseXOR(F.col("value")))).alias("value"))
-    found = windows.select("doc_id", "m", "start", "h", "f", F.posexplode(F.array(*block("f"))).alias("j", "value")).join(index, ["m", "j", "value"])
-    found = found.where(F.bit_count(F.col("f").bitwiseXOR(F.col("if"))) <= radius).dropDuplicates(["doc_id", "item_id", "start", "h"])
+    found = windows.select("row", "doc_id", "m", "start", "h", "f", F.posexplode(F.array(*block("f"))).alias("j", "value")).join(index, ["m", "j", "value"])
+    found = found.where(F.bit_count(F.col("f").bitwiseXOR(F.col("if"))) <= radius).dropDuplicates(["row", "item_id", "start", "h"])
     shared = F.expr("aggregate(array_intersect(h, ih), 0, (s, x) -> s + least(size(filter(h, y -> y = x)), size(filter(ih, y -> y = x))))")
-    found = found.select("doc_id", "item_id", "start", shared.alias("both"), (F.size("h") + F.size("ih")).alias("sum"))
+    found = found.select("row", "doc_id", "item_id", "start", shared.alias("both"), (F.size("h") + F.size("ih")).alias("sum"))
     found = found.where(f"100 * both >= {PERCENT} * (sum - both)").withColumn("similarity", F.col("both") / (F.col("sum") - F.col("both")))
     best = F.max(F.struct("similarity", (-F.col("start")).alias("s")))
-    return found.groupBy("doc_id", "item_id").agg(best.alias("b"), F.count("*").alias("n_windows")).select("doc_id", "item_id", F.col("b.similarity").alias("similarity"), (-F.col("b.s")).alias("window_start"), "n_windows")
+    found = found.groupBy("row", "doc_id", "item_id").agg(best.alias("b"), F.count("*").alias("n_windows"))
+    return found.select("row", "doc_id", "item_id", F.col("b.similarity").alias("similarity"), (-F.col("b.s")).alias("window_start"), "n_windows")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """A row for each leaked pair: doc_id, item_id, similarity (of the best window), window_start (its first word), n_windows (of those that reach it)."""
+    rows = leaking_rows(docs, benchmark, radius).groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("window_start")).alias("s"))).alias("b"), F.sum("n_windows").alias("n_windows"))
+    return rows.select("doc_id", "item_id", F.col("b.similarity").alias("similarity"), (-F.col("b.s")).alias("window_start"), "n_windows")
 
 
 def keep_unleaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that leak an item; all columns stay."""
-    bad = materialize(leaks(docs, benchmark).select("doc_id").distinct(), "leaking")
-    return docs.join(small(bad, PAIR_ROWS), "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows that leak an item; all columns stay."""
+    bad = materialize(leaking_rows(docs, benchmark, RADIUS).select(F.col("row").alias("_row")).distinct(), "leaking")
+    return docs.join(small(bad, PAIR_ROWS), _row() == F.col("_row"), "left_anti").select(*docs.columns)
+
+
+# windows are compared shingle by shingle for every document and item that share one
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)
+), b AS (
+  SELECT item_id, w, len(w) AS m, least(len(w), 5) AS k FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark) WHERE len(w) > 0
+), s AS (
+  SELECT item_id, array_to_string(w[p : p + k - 1], ' ') AS g, count(*) AS times FROM (SELECT *, unnest(range(1, m - k + 2)) AS p FROM b) GROUP BY ALL
+), t AS (
+  SELECT r, k, p - 1 AS p, array_to_string(w[p : p + k - 1], ' ') AS g
+  FROM (SELECT r, k, w, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM b))
+), hit AS (
+  SELECT t.r, b.item_id, b.m, b.k, t.p, t.g, s.times FROM t JOIN s ON t.g = s.g JOIN b ON b.item_id = s.item_id AND b.k = t.k
+), win AS (
+  SELECT DISTINCT hit.r, hit.item_id, hit.m, hit.k, len(d.w) AS n,
+         unnest(CASE WHEN len(d.w) <= hit.m THEN [0] ELSE range(greatest(0, hit.p - (hit.m - hit.k)), least(hit.p, len(d.w) - hit.m) + 1) END) AS start
+  FROM hit JOIN d ON d.r = hit.r
+), both_ AS (
+  SELECT r, item_id, m, k, n, start, sum(least(c, times)) AS both_
+  FROM (SELECT win.r, win.item_id, win.m, win.k, win.n, win.start, hit.g, hit.times, count(*) AS c
+        FROM win JOIN hit ON hit.r = win.r AND hit.item_id = win.item_id AND hit.p BETWEEN win.start AND win.start + win.m - win.k
+        GROUP BY ALL)
+  GROUP BY ALL
+), sim AS (
+  SELECT r, item_id, start, both_, (least(n, m) - k + 1) + (m - k + 1) - both_ AS every FROM both_
+)
+SELECT doc_id, item_id, max(CAST(both_ AS DOUBLE) / CAST(every AS DOUBLE)) AS similarity,
+       CAST(arg_max(start, CAST(both_ AS DOUBLE) / CAST(every AS DOUBLE) - start * 1e-12) AS INTEGER) AS window_start, count(*) AS n_windows
+FROM sim JOIN d ON d.r = sim.r WHERE 100 * both_ >= 80 * every GROUP BY doc_id, item_id
+"""

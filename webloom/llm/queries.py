@@ -87,4 +87,4 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.comp
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
 """
 
-ORACLE = {"op2_quality_rules": quality.ORACLE_SQL, "op10_jaccard_join": JACCARD_SQL}
+ORACLE = {"op2_quality_rules": quality.ORACLE_SQL, "op3_decontamination": decontaminate.ORACLE_SQL, "op10_jaccard_join": JACCARD_SQL}
