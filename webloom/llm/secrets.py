@@ -2,13 +2,18 @@
 
 Known shapes are matched leftmost without overlap; a match that is too short is dropped afterwards.
 Further candidates are tokens of MIN_TOKEN characters or more with letters and digits. Each gets an
-encoding (hex, base32, upper- or lower-case alphanumeric, base64) and three tests on the values
-of its characters in that alphabet: chi-squared uniformity over bins of five expected values or more,
-runs about the middle, and serial correlation. Fisher's method combines the three p-values. Within
-each length band over the whole corpus, Benjamini-Hochberg at FDR rejects the tokens that aren't
-random (ordinary text, identifiers, counters): p-values are counted in steps and rounded to the
-step's lower edge, so the count of rejections can only rise. What is left is a secret (kind
-random), unless it overlaps a known shape.
+encoding (hex, base32, upper- or lower-case alphanumeric, base64) and two verdicts:
+ - Is it ordinary? The null hypothesis is that it is: its characters are drawn as in names and words
+   (letters as often as in text, few capitals and digits). The sum of the log-likelihood ratios of
+   uniform to ordinary characters gives a p-value by its mean and variance under that hypothesis.
+   Within each length band over the whole corpus, Benjamini-Hochberg rejects the hypothesis at FDR:
+   of the tokens so found at most that share are ordinary ones. p-values are counted in steps and
+   rounded up to the step's edge, so the count of rejections can only fall.
+ - Is it random? Three tests on the values of its characters in the alphabet: chi-squared uniformity
+   over bins of five expected values or more, runs about the middle, and serial correlation; Fisher's
+   method combines the three p-values. Counters, dates and patterns fall below LEVEL.
+A token found by the first and not refused by the second is a secret (kind random), unless it
+overlaps a known shape.
 
 Positions are code points, ends exclusive. A null text is empty and has no spans. Rows that repeat a
 doc_id each return. Other columns are ignored by the scan and kept by redact().
@@ -16,6 +21,8 @@ doc_id each return. Other columns are ignored by the scan and kept by redact().
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +34,10 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"  # runs are maximal, so this equals runs of any length of which those under 24 are dropped
 MIN_TOKEN = 20
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
-FDR = 0.05
-STEPS = 40  # of a factor of 10^-0.25 each
+FDR = 0.01
+LEVEL = 0.01  # of the battery
+PART = 512  # hits that are put together before they join the others of their text
+STEPS = 60  # of a factor of 10^-0.25 each
 KINDS = ["assign", "access", "hex", "random"]
 # Encodings by pattern, most particular first, with their alphabets.
 ENCODINGS = [
@@ -41,6 +50,39 @@ ENCODINGS = [
 ]
 
 
+# Letters by their usual share in English text, in percent; the shares of small letters, capitals, digits and signs in ordinary names.
+LETTERS = dict(zip("etaoinshrdlcumwfgypbvkjxqz", (12.7, 9.1, 8.2, 7.5, 7.0, 6.7, 6.3, 6.1, 6.0, 4.3, 4.0, 2.8, 2.8, 2.4, 2.4, 2.2, 2.0, 2.0, 1.9, 1.5, 1.0, 0.8, 0.15, 0.15, 0.1, 0.07), strict=True))
+SMALL, CAPITAL, DIGIT, SIGN = 0.80, 0.10, 0.06, 0.04
+
+
+def ordinary(alphabet: str) -> list[float]:
+    """The share of each character of an alphabet in ordinary names that have no others."""
+    share = [CAPITAL * LETTERS[c.lower()] / 100 if c.isupper() else SMALL * LETTERS[c] / 100 if c.islower() else DIGIT / 10 if c.isdigit() else SIGN / 4 for c in alphabet]
+    if not any(c.islower() for c in alphabet):  # written in capitals
+        share = [x * SMALL / CAPITAL if c.isupper() else x for c, x in zip(alphabet, share, strict=True)]
+    return [x / sum(share) for x in share]
+
+
+def weights(alphabet: str) -> tuple[list[float], float, float]:
+    """For each character the log of its uniform share by its ordinary share; mean and standard deviation of that for ordinary characters."""
+    q = ordinary(alphabet)
+    w = [math.log(1 / len(q) / x) for x in q]
+    mean = sum(x * y for x, y in zip(q, w, strict=True))
+    return w, mean, math.sqrt(sum(x * (y - mean) ** 2 for x, y in zip(q, w, strict=True)))
+
+
+def _unusual() -> str:
+    """SQL: the p-value of token t (a lambda variable) under the hypothesis that it is ordinary."""
+    numbers = lambda xs: "array(" + ", ".join(f"{x!r}D" for x in xs) + ")"
+    cases = []
+    for p, a in ENCODINGS:
+        w, mean, sd = weights(a)
+        cases.append(f"when t.token rlike '{p}' then named_struct('a', '{a}', 'w', {numbers(w)}, 'mean', {mean!r}D, 'sd', {sd!r}D)")
+    said = f"transform(array(case {' '.join(cases)} end), e -> named_struct('e', e, 'c', split(regexp_replace(t.token, '=+$', ''), '')))[0]"
+    z = f"transform(array({said}), x -> (aggregate(x.c, 0D, (s, c) -> s + x.e.w[instr(x.e.a, c) - 1]) - size(x.c) * x.e.mean) / (x.e.sd * sqrt(size(x.c))))[0]"
+    return f"transform(array({z}), z -> case when z >= 0 then {_upper('z')} else 1D end)[0]"
+
+
 def _found(text: Column, pattern: str, kind: str) -> Column:
     """array<struct<start, kind, end, token>> of all matches: the text between matches gives their places."""
     none = F.array().cast("array<struct<start:int,kind:int,end:int,token:string>>")
@@ -54,8 +96,12 @@ def _found(text: Column, pattern: str, kind: str) -> Column:
             one = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), hit.alias("token"))
             return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
+        def part(acc: Column, i: Column) -> Column:
+            own = F.sequence(i, F.least(i + PART, F.size(x["hits"])) - 1)
+            return F.aggregate(own, F.struct(acc["at"].alias("at"), none.alias("out")), step, lambda a: F.struct(a["at"].alias("at"), F.concat(acc["out"], a["out"]).alias("out")))
+
         first = F.struct(F.lit(0).alias("at"), none.alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(x["hits"]) - 1), first, step, lambda acc: acc["out"])
+        return F.aggregate(F.sequence(F.lit(0), F.size(x["hits"]) - 1, F.lit(PART)), first, part, lambda acc: acc["out"])
 
     # transform over a one-element array names hits and gaps, so that each is made once
     return F.when(text.rlike(pattern), F.transform(F.array(both), fold)[0]).otherwise(none)
@@ -100,18 +146,17 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
     fits = lambda x: x["token"].rlike("[0-9]") & x["token"].rlike("[A-Za-z]") & ~F.exists("_base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
     d = d.withColumn("_tokens", F.filter("_tokens", fits))
     band = "cast(floor(log2(length(t.token) / 20D)) as int)"
-    step = f"cast(least({STEPS}, ceil(-4 * log10(greatest({_battery()}, 1e-15D)))) as int)"
-    return d.withColumn("_random", F.expr(f"transform(_tokens, t -> named_struct('start', t.start, 'kind', t.kind, 'end', t.end, 'token', t.token, 'band', {band}, 'step', {step}))")).drop("_tokens")
+    step = f"cast(least({STEPS}, floor(-4 * log10(greatest({_unusual()}, 1e-15D)))) as int)"
+    return d.withColumn("_random", F.expr(f"transform(_tokens, t -> named_struct('start', t.start, 'kind', t.kind, 'end', t.end, 'token', t.token, 'band', {band}, 'step', {step}, 'uniform', {_battery()} >= {LEVEL}D))")).drop("_tokens")
 
 
 def rejected_from(found: DataFrame) -> dict[int, int]:
-    """By length band, the step from which tokens aren't random: Benjamini-Hochberg over all candidates."""
+    """By length band, the step from which tokens aren't ordinary: Benjamini-Hochberg over all candidates."""
     rows = found.select(F.explode("_random").alias("r")).groupBy("r.band", "r.step").count().collect()  # bands x STEPS rows at most
     out = {}
     for band in {r.band for r in rows}:
         own = {r.step: r["count"] for r in rows if r.band == band}
         total, rank = sum(own.values()), 0
-        out[band] = STEPS + 1
         for step in sorted(own, reverse=True):
             rank += own[step]
             if 10 ** (-step / 4) <= FDR * rank / total:
@@ -121,7 +166,7 @@ def rejected_from(found: DataFrame) -> dict[int, int]:
 
 def _all_spans(limits: dict[int, int]) -> Column:
     cut = F.lit(STEPS + 1)
-    keep = lambda x: x["step"] < (F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in limits.items() for v in kv]), x["band"]), cut) if limits else cut)
+    keep = lambda x: x["uniform"] & (x["step"] >= (F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in limits.items() for v in kv]), x["band"]), cut) if limits else cut))
     plain = lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["token"].alias("token"))
     return F.array_sort(F.concat("_base", F.transform(F.filter("_random", keep), plain)))
 
