@@ -24,35 +24,61 @@ from webloom.llm.shingles import column_bytes
 # Phrases and labels.
 PHRASES = [(b"mit license", "mit"), (b"apache license", "apache"), (b"general public license", "gpl")]
 
-# Public license wording.
+# Public license wording. Texts and notices are whole: all but the marked regions is mandatory.
 TEMPLATES = {
     "mit-text": """<<beginOptional>>The MIT License<<endOptional>> <<beginOptional>>MIT License<<endOptional>> <<beginOptional>>Copyright <<var;0;20>><<endOptional>>
         Permission is hereby granted, free of charge, to any person obtaining a copy of <<var;1;8>> (the "Software"), to deal in the Software without restriction, including
         without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the
         Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice <<beginOptional>>(including the next
-        paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software. <<beginOptional>>THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+        paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
         EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL
         <<var;1;10>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH
-        THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.<<endOptional>>""",
+        THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "isc-text": """<<beginOptional>>ISC License<<endOptional>> <<beginOptional>>Copyright <<var;0;20>><<endOptional>> Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>>
-        distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+        distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+        THE SOFTWARE IS PROVIDED "AS IS" AND <<var;1;8>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.
+        IN NO EVENT SHALL <<var;1;8>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR
+        PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
     "bsd-text": """<<beginOptional>>Copyright <<var;0;20>> All rights reserved.<<endOptional>> Redistribution and use in source and binary forms, with or without modification, are permitted
         provided that the following conditions are met: <<var;0;1>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
         <<var;0;1>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials
-        provided with the distribution.""",
-    "apache-notice": """<<beginOptional>>Copyright <<var;0;20>><<endOptional>> Licensed under the Apache License, Version 2.0 <<beginOptional>>(the "License"); you may not use this file except in
+        provided with the distribution. <<beginOptional>><<var;0;1>> Neither the name of <<var;1;12>> nor the names of <<beginOptional>>its<<endOptional>> contributors may be used to endorse
+        or promote products derived from this software without specific prior written permission.<<endOptional>> THIS SOFTWARE IS PROVIDED BY <<var;1;10>> "AS IS" AND ANY EXPRESS OR IMPLIED
+        WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var;1;10>> BE LIABLE FOR
+        ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR
+        PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY
+        WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "zlib-text": """<<beginOptional>>Copyright <<var;0;20>><<endOptional>> This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any
+        damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it
+        freely, subject to the following restrictions: <<var;0;1>> The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this
+        software in a product, an acknowledgment in the product documentation would be appreciated but is not required. <<var;0;1>> Altered source versions must be plainly marked as such, and must
+        not be misrepresented as being the original software. <<var;0;1>> This notice may not be removed or altered from any source distribution.""",
+    "unlicense-text": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in
+        source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this
+        software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and
+        successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED
+        "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO
+        EVENT SHALL <<var;1;10>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE
+        OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. <<beginOptional>>For more information, please refer to <<var;1;6>><<endOptional>>""",
+    "apache-notice": """<<beginOptional>>Copyright <<var;0;20>><<endOptional>> Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
         compliance with the License. You may obtain a copy of the License at <<var;1;8>> Unless required by applicable law or agreed to in writing, software distributed under
         the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
-        governing permissions and limitations under the License.<<endOptional>>""",
-    "gpl-notice": """This <<var;1;4>> is free software<<beginOptional>>:<<endOptional>> you can redistribute it and/or modify it under the terms of the GNU <<beginOptional>>Lesser<<endOptional>>
-        <<beginOptional>>Affero<<endOptional>> General Public License as published by the Free Software Foundation""",
+        governing permissions and limitations under the License.""",
+    "gpl-notice": """This <<var;1;4>> is free software; you can redistribute it and/or modify it under the terms of the GNU <<beginOptional>>Lesser<<endOptional>> <<beginOptional>>Affero<<endOptional>>
+        General Public License as published by the Free Software Foundation; either version <<var;1;2>> of the License, or (at your option) any later version. This <<var;1;4>> is distributed in the
+        hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU
+        <<beginOptional>>Lesser<<endOptional>> <<beginOptional>>Affero<<endOptional>> General Public License for more details.
+        <<beginOptional>>You should have received a copy of the GNU <<beginOptional>>Lesser<<endOptional>> <<beginOptional>>Affero<<endOptional>> General Public License along with this
+        <<var;1;4>> If not, see <<var;1;6>><<endOptional>>""",
+    "apache-statement": "licensed under the Apache License <<beginOptional>>version <<var;1;2>><<endOptional>>",
     "gpl-statement": """<<beginOptional>>This <<var;1;3>> is<<endOptional>> licensed under the GNU <<beginOptional>>Lesser<<endOptional>> <<beginOptional>>Affero<<endOptional>>
         General Public License <<beginOptional>>version <<var;1;2>><<endOptional>>""",
     "mit-statement": "<<beginOptional>>This <<var;1;3>> is<<endOptional>> <<beginOptional>>released<<endOptional>> <<beginOptional>>licensed<<endOptional>> under the <<beginOptional>>terms of the<<endOptional>> MIT License",
     "cc-statement": "<<beginOptional>>This <<var;1;3>> is<<endOptional>> licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> CC BY <<beginOptional>>NC<<endOptional>> <<beginOptional>>SA<<endOptional>> <<beginOptional>>ND<<endOptional>> <<var;2;2>>",
     "spdx-tag": "SPDX License Identifier <<var;1;3>>",
-    "unlicense-text": "This is free and unencumbered software released into the public domain",
 }
+SCORES = {"text": 1.0, "notice": 1.0, "statement": 0.75, "tag": 0.75}  # by the last part of a label; a mention alone has MENTION
+MENTION = 0.5
 
 _MARK = re.compile(r"<<beginOptional>>|<<endOptional>>|<<var;(\d+);(\d+)>>|([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)")
 _WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -164,7 +190,7 @@ def scan_text(raw: bytes, automata: list[Automaton]) -> tuple[int, list[tuple[in
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """A row for each document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, runs (label:first:end of each accepted text).
 
-    score: 1 where a template is accepted, 0.5 for a mention alone, else 0.
+    score: the best of what is accepted: 1 for a whole text or notice (and templates of one's own), 0.75 for a statement or tag that names a license, 0.5 for a mention alone, else 0.
     """
 
     def run(batches):
@@ -175,7 +201,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
                 n, places, runs = scan_text(raw, automata)
                 base = {x for _, x in places}
                 own = base | {x for x, _, _ in runs}
-                row = (n, len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted(base)), ",".join(sorted(own)), 1.0 if runs else 0.5 if places else 0.0, ",".join(f"{x}:{i}:{j}" for x, i, j in runs))
+                row = (n, len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted(base)), ",".join(sorted(own)), max([SCORES.get(x.rpartition("-")[2], 1.0) for x, _, _ in runs], default=MENTION if places else 0.0), ",".join(f"{x}:{i}:{j}" for x, i, j in runs))
                 for x, v in zip(rows, row, strict=True):
                     x.append(v)
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.string()]
