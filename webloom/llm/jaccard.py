@@ -13,7 +13,8 @@ Two texts link when the Jaccard similarity of their sets of 5-word shingles is T
 4. Then every pair of classes from different groups that share a list is held against each other; so
    no link between groups is missed, and few pairs inside a group are made.
 5. Pairs go on to verification if a bitmap of BITS parities allows a link: bits in which two sets'
-   parities differ are at most the shingles that only one of them has, so no link is lost.
+   parities differ are at most the shingles that only one of them has, so no link is lost. Within
+   the lists the same is tried first with the bitmap folded to FOLDED bits, which stays one of parities.
 6. A pair is verified on whole texts: one class is the query, the others (in chunks) are an index
    that DivideSkip searches: short lists are merged, long lists probed by binary search.
 
@@ -45,10 +46,11 @@ NUM, DEN = 80, 100  # the least similarity
 HEAVY_ROWS = 1 << 20  # most frequent shingles that workers are told of, to put them last
 CHUNK = 128  # classes in one index
 BROADCAST_ROWS = 500_000  # of (id, id, id) rows
-BITS = 256  # of a set's bitmap
+BITS = 2048  # of a set's bitmap
+FOLDED = 256
 HUBS = 4  # classes that a list is held against in a round
 PAIRS_A_ROW = 64  # pairs of different groups for each row of the lists, from which on another round is worth its cost
-_BITMAP = [f"b{i}" for i in range(BITS // 64)]
+_BITMAP = [f"b{i}" for i in range(FOLDED // 64)]
 
 
 def required(n: int, m: int) -> int:
@@ -68,7 +70,8 @@ def bitmap(s: np.ndarray) -> np.ndarray:
 
 def _signatures(batches):
     """Rows (doc_id, key, n, class, bitmap) of each document, and rows (shingle, count) of shingles that come again and again."""
-    names = ["doc_id", "key", "n", "class", "token", "count", *_BITMAP]
+    names = ["doc_id", "key", "n", "class", "token", "count", "bits"]
+    kind = pa.list_(pa.int64())
     seen: list[np.ndarray] = []
 
     def frequent():
@@ -76,7 +79,7 @@ def _signatures(batches):
         seen.clear()
         token, count = token[count > 2], count[count > 2]
         none = pa.nulls(len(token), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(token.view(np.int64)), pa.array(count)] + [none] * len(_BITMAP), names=names)
+        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(token.view(np.int64)), pa.array(count), pa.nulls(len(token), kind)], names=names)
 
     held = 0
     for b in batches:
@@ -91,8 +94,9 @@ def _signatures(batches):
                 yield frequent()
                 held = 0
         none = pa.nulls(len(n), pa.int64())
-        bits = np.array(bits, dtype=np.int64).reshape(-1, len(_BITMAP))
-        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), pa.array(n, pa.int64()), pa.array(c, pa.int64()), none, none] + [pa.array(bits[:, i]) for i in range(len(_BITMAP))], names=names)
+        at = np.arange(0, len(n) * BITS // 64 + 1, BITS // 64, dtype=np.int32)
+        bits = pa.ListArray.from_arrays(at, np.concatenate(bits)) if bits else pa.nulls(0, kind)
+        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), pa.array(n, pa.int64()), pa.array(c, pa.int64()), none, none, bits], names=names)
     if seen:
         yield frequent()
 
@@ -221,15 +225,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, name: str)
 
 def _entries(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The documents (doc_id, key, n, class), the classes with the row that stands for each and their bitmaps, and the prefix lists (token, class, n). docs: doc_id, text."""
-    bits = ", ".join(f"{b} long" for b in _BITMAP)
-    signed = docs.select("doc_id", "text", _key("text").alias("key")).mapInArrow(releasing(_signatures), f"doc_id long, key long, n long, class long, token long, count long, {bits}")
+    signed = docs.select("doc_id", "text", _key("text").alias("key")).mapInArrow(releasing(_signatures), "doc_id long, key long, n long, class long, token long, count long, bits array<long>")
     first = materialize(signed, "jaccard-sets")
     sets = first.where("token is null").select("doc_id", "key", "n", "class")
     heavy = first.where("token is not null").groupBy("token").agg(F.sum("count").alias("count")).where("count > 24").orderBy(F.desc("count"), "token").limit(HEAVY_ROWS)
     heavy = np.sort(np.array([r.token for r in heavy.select("token").toLocalIterator()], dtype=np.int64).view(np.uint64))
     row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))  # null ids last
-    classes = first.where("class is not null").groupBy("class").agg(row.alias("row"), *[F.max(b).alias(b) for b in _BITMAP])
-    classes = materialize(classes, "jaccard-classes")
+    classes = first.where("class is not null").groupBy("class").agg(row.alias("row"), F.first("bits").alias("bits"))
+    folded = [F.expr(" ^ ".join(f"bits[{j}]" for j in range(i, BITS // 64, len(_BITMAP)))).alias(b) for i, b in enumerate(_BITMAP)]
+    classes = materialize(classes.select("*", *folded), "jaccard-classes")
 
     entries = docs.select("text").mapInArrow(releasing(_prefixes(heavy)), "token long, class long, n int")
     entries = entries.repartition("token").sortWithinPartitions("token", "class", F.desc("n"))
@@ -239,17 +243,17 @@ def _entries(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 _FITS = f"(n > 0 or hub_n > 0) and {DEN} * least(abs(n), abs(hub_n)) >= {NUM} * greatest(abs(n), abs(hub_n))"
 
 
-def _allowed(bits: int) -> str:
-    """SQL: whether the sets of x and y can link by their bitmaps; |n| and |hub_n| are their sizes."""
-    differ = " + ".join(f"bit_count(x.b{i} ^ y.b{i})" for i in range(bits // 64))
+def _allowed(differ: str) -> str:
+    """SQL: whether sets of |n| and |hub_n| shingles of which so many differ at least can link."""
     joint = "(abs(n) + abs(hub_n))"
     return f"{differ} <= {joint} - 2 * (({NUM} * {joint} + {NUM + DEN - 1}) div {NUM + DEN})"
 
 
 def _filtered(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Of distinct pairs(class, hub, n, hub_n) those whose bitmaps allow a link, as (a, b) with a < b."""
-    x, y = classes.select("class", *_BITMAP).alias("x"), classes.select(F.col("class").alias("hub"), *_BITMAP).alias("y")
-    return pairs.join(x, "class").join(y, "hub").where(_allowed(BITS)).select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b"))
+    x, y = classes.select("class", F.col("bits").alias("x")), classes.select(F.col("class").alias("hub"), F.col("bits").alias("y"))
+    differ = "aggregate(zip_with(x, y, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)"
+    return pairs.join(x, "class").join(y, "hub").where(_allowed(differ)).select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b"))
 
 
 def _stars(members: DataFrame, round_: int) -> DataFrame:
@@ -293,8 +297,10 @@ def _pairs(members: DataFrame, classes: DataFrame, more: str) -> DataFrame:
     """Pairs (a, b) of classes that share a list and may link by their sizes and bitmaps. members: token, class, n, comp."""
     own = members.join(classes.select("class", *_BITMAP), "class")
     x, y = own.alias("x"), own.select("token", F.col("class").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"), *_BITMAP).alias("y")
-    fits = F.expr(f"x.token = y.token and class < hub and {more} and {_FITS} and {_allowed(BITS)}")
-    return x.join(y, fits).select(F.col("class").alias("a"), F.col("hub").alias("b"))
+    differ = " + ".join(f"bit_count(x.{b} ^ y.{b})" for b in _BITMAP)
+    fits = F.expr(f"x.token = y.token and class < hub and {more} and {_FITS} and {_allowed(differ)}")
+    pairs = x.join(y, fits).select("class", "hub", F.abs("n").alias("n"), F.abs("hub_n").alias("hub_n")).distinct()
+    return _filtered(pairs, classes)
 
 
 def jaccard_links(docs: DataFrame) -> DataFrame:
