@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from webloom.functions import contact as C
 from webloom.functions import urls as U
@@ -72,11 +70,6 @@ def canonical_forms(values: DataFrame) -> DataFrame:
     return out.withColumn("canonical", F.when(F.col("field") == "address", F.coalesce(up, F.col("normalized_value"))).otherwise(F.col("normalized_value"))).drop("canon")
 
 
-@F.pandas_udf(DoubleType())
-def _share(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([round(x / y, 4) if y else 0.0 for x, y in zip(a.fillna(0), b.fillna(0), strict=True)])
-
-
 def compare(values: DataFrame, sites: DataFrame) -> DataFrame:
     """Three rows for each site(site): field, pages_compared, values, normalized_values, confidence, verdict, evidence, majority_count, total."""
     c = canonical_forms(values)
@@ -95,7 +88,7 @@ def compare(values: DataFrame, sites: DataFrame) -> DataFrame:
         F.coalesce(F.array_distinct(F.transform("e", lambda x: x["page"])), empty).alias("pages_compared"),
         F.coalesce(F.transform("forms", lambda x: x["raw"]), empty).alias("values"),
         F.coalesce(F.transform("forms", lambda x: x["canonical"]), empty).alias("normalized_values"),
-        _share(F.col("majority_count").cast("double"), F.col("total").cast("double")).alias("confidence"),
+        F.coalesce(F.bround(F.col("majority_count") / F.col("total"), 4), F.lit(0.0)).alias("confidence"),
         F.when(F.col("total").isNull(), "insufficient_data").when(F.size("forms") == 1, "consistent").otherwise("inconsistent").alias("verdict"),
         F.coalesce(e, F.array().cast("array<struct<page:string,raw_value:string,normalized_value:string,source:string>>")).alias("evidence"),
         F.coalesce("majority_count", F.lit(0)).cast("long").alias("majority_count"),
@@ -117,7 +110,7 @@ def describe(report: DataFrame) -> DataFrame:
         "explanation",
         F.when(F.col("verdict") == "insufficient_data", F.concat(F.lit("No "), "field", F.lit(" value found on any crawled page.")))
         .when(F.col("verdict") == "consistent", F.concat(F.lit("All "), n.cast("string"), F.lit(" "), "field", F.lit(" value(s) normalize to "), q(a), F.lit(".")))
-        .when(legal, F.concat(F.lit("The names "), q(a), F.lit(" and "), q(b), F.lit(" differ only by legal suffix. These are distinct legal entities, so they are reported rather than merged — confirm which is correct.")))
+        .when(legal, F.concat(F.lit("The names "), q(a), F.lit(" and "), q(b), F.lit(" differ only by legal suffix; they may be two companies, so neither is taken for the other.")))
         .otherwise(F.concat(F.size(vs).cast("string"), F.lit(" distinct "), "field", F.lit(" values were found across "), F.size("pages_compared").cast("string"), F.lit(" page(s): "), F.array_join(F.transform(F.slice(vs, 1, 4), q), ", "))),
     )
 

@@ -23,10 +23,11 @@ def valid_findings(findings: DataFrame, pages: DataFrame, fetches: DataFrame | N
     return full.join(again, ["site", *KEY], "left_semi")
 
 
-def valid_report(report: DataFrame, pages: DataFrame) -> DataFrame:
-    """Fields whose evidence is found again and gives the same verdict."""
+def valid_report(report: DataFrame, pages: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """Fields whose evidence is found again and gives the same verdict. found: the candidates of the pages, if they stand written already."""
     ev = report.select("site", "field", F.posexplode("evidence").alias("ord", "e")).select("site", "field", "ord", "e.*")
-    found = candidates(pages, target_business(pages)).select("site", "field", "page", "raw_value", "source").distinct()
+    found = found if found is not None else candidates(pages, target_business(pages))
+    found = found.select("site", "field", "page", "raw_value", "source").distinct()
     first = pages.groupBy("site", F.col("final_url").alias("page")).agg(F.min_by("text", "pos").alias("text"))
     bad_norm = ev.where(~normalized(F.col("field"), F.col("raw_value")).eqNullSafe(F.col("normalized_value")))
     llm = ev.where("source = 'llm'").join(first, ["site", "page"], "left").where(~F.coalesce(F.contains("text", "raw_value"), F.lit(False)))

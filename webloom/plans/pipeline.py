@@ -42,7 +42,8 @@ def run(fetches: DataFrame, questions: DataFrame | None = None, q1: bool = True,
     pages = materialize(extract(fetches), "pages")
     out = Result(pages)
     if q2:
-        out.report = V.valid_report(Q2.nap_report(pages), pages)
+        found = materialize(Q2.candidates(pages, Q2.target_business(pages)), "candidates")
+        out.report = V.valid_report(Q2.compare(found, pages.select("site")), pages, found)
     if q1:
         found = Q1.audit(pages, fetches)
         if generate:

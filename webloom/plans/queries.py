@@ -41,7 +41,8 @@ def q1_validated(spark, sf_dir):
 def q2_nap_report(spark, sf_dir):
     """Name, address and phone of every host, validated."""
     pages = _pages(spark, sf_dir)
-    return V.valid_report(Q2.nap_report(pages), pages).drop("evidence")
+    found = materialize(Q2.candidates(pages, Q2.target_business(pages)), "candidates")
+    return V.valid_report(Q2.compare(found, pages.select("site")), pages, found).drop("evidence")
 
 
 def q3_answers(spark, sf_dir):
