@@ -42,7 +42,8 @@ def q2_nap_report(spark, sf_dir):
     """Name, address and phone of every host, validated."""
     pages = _pages(spark, sf_dir)
     found = materialize(Q2.candidates(pages, Q2.target_business(pages)), "candidates")
-    return V.valid_report(Q2.compare(found, pages.select("site")), pages, found).drop("evidence")
+    report = V.valid_report(Q2.compare(found, pages.select("site")), pages, found).drop("evidence")
+    return report.withColumns({c: F.array_join(c, " | ") for c in ("pages_compared", "values", "normalized_values")})
 
 
 def q3_answers(spark, sf_dir):
@@ -159,7 +160,57 @@ r AS (SELECT qid, doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75
 _HOST = r"regexp_replace(regexp_extract(lower(url), '^https?://(?:[^/?#@]*@)?([^/?#:]*)', 1), '^www\.', '')"
 _PATH = r"regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)"
 
+_ADDRESS = C.ADDRESS.replace("(?iU)", "(?i)").replace("'", "''")
+_COPYRIGHT = r"(?:©\s*(?:\d{4}\s*(?:[-–]\s*\d{4})?\s*)?|(?i:copyright|\(c\))\s+\d{4}\s*(?:[-–]\s*\d{4})?\s*)(?:(?i:by)\s+)?\p{Lu}"
+_PHONE_SHAPED = r"""list_filter(regexp_extract_all(text, '\+?\d[\d\s().\-]{6,20}\d'), lambda c: regexp_matches(c, '[()\-.]|^\+') AND NOT regexp_matches(trim(c), '^\d{4}\s*-\s*\d{2}\s*-\s*\d{2}$')
+          AND (len(regexp_extract_all(c, '\d+')) >= 2 OR c LIKE '+%') AND (len(list_filter(regexp_extract_all(c, '\d+'), lambda g: length(g) = 4)) < 2 OR contains(c, '(') OR c LIKE '+%')
+          AND len(list_filter(regexp_extract_all(c, '\d+'), lambda g: length(g) = 1)) <= 1)"""
+
+
+def _finding(check: str, metric: str, severity: str, evidence: str, fix: str, where: str) -> str:
+    return f"SELECT site, '{metric}' AS metric, url AS page, '{severity}' AS severity, {evidence} AS evidence, '{fix}' AS suggested_fix, 'SEO-{check}' AS check_id FROM a WHERE {where}"
+
+
+def _shared_sql(check: str, metric: str, value: str, evidence: str, fix: str) -> str:
+    every = f"list(struct_pack(u := url, i := page_id) ORDER BY page_id) OVER (PARTITION BY site, {value} ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    others = f"list_transform(list_filter(every, lambda x: x.u <> url), lambda x: x.u)"
+    rows = f"(SELECT *, {others} AS others, len(every) AS n FROM (SELECT *, {every} AS every FROM a WHERE coalesce({value}, '') <> '')) WHERE n > 1"
+    return f"SELECT site, '{metric}', url, 'warning', {evidence} || len(others) || ' other page(s): ' || array_to_string(others[1:3], ', '), '{fix}', 'SEO-{check}' FROM {rows}"
+
+
+# the checks that pages without descriptions, canonical links, robots and image tags can meet; plans.built has pages for all others
+_AUDIT = f"WITH {_FIELDS}, a AS (SELECT f.*, url, {_HOST} AS site FROM f JOIN (SELECT page_id, url FROM pages) u USING (page_id)) " + " UNION ALL ".join(
+    [
+        _finding("TITLE-001", "missing_title", "critical", "'No <title> element is present in the document <head>.'", "Give the page a <title> of its own, 30 to 60 characters long.", "title IS NULL"),
+        _finding("TITLE-002", "empty_title", "critical", "'A <title> element is present but contains no text.'", "Fill in the <title>: say in a few words what only this page offers.", "title = ''"),
+        _finding("TITLE-004", "title_too_long", "info", f"'<title> is ' || length(title) || ' characters, over the 60-character display limit: ' || {_QUOTE.format('title')}", "Cut the title down to 60 characters; result lists show no more.", "length(title) > 60"),
+        _finding("TITLE-005", "title_too_short", "info", f"'<title> is only ' || length(title) || ' characters: ' || {_QUOTE.format('title')}", "Say more in the title: 30 characters at least, with what sets this page apart.", "length(title) BETWEEN 1 AND 29"),
+        _finding("META-001", "missing_meta_description", "info", "'No <meta name=\"description\"> element is present in the document <head>.'", "Describe the page in a description meta tag of 70 to 160 characters.", "NOT regexp_matches(html, '(?i)<meta[^>]*name=.?description')"),
+        _finding("CANON-001", "missing_canonical", "info", "'No <link rel=\"canonical\"> element is present in the document <head>.'", "Name the page''s own address in a canonical link, so that its variants count as one.", "NOT regexp_matches(html, '(?i)rel=.?canonical')"),
+        _finding("HEAD-001", "missing_h1", "info", "'The page contains no <h1> element.'", "Say in one <h1> what the page is about.", "h1_count = 0"),
+        _finding("CONTENT-001", "thin_content", "info", "'The page has ' || n_words || ' words of visible text, below the 150-word threshold used here.'", "Add to the text if the page is meant to be found; pages that only serve a purpose, such as a login, may stay short.", "n_words < 150"),
+        _finding("SOCIAL-001", "missing_open_graph", "info", "'Open Graph tags absent from <head>: og:description, og:image, og:title.'", "Add these og: meta tags; without them a shared link shows no preview.", "NOT regexp_matches(html, '(?i)property=.?og:')"),
+        _shared_sql("DUP-001", "duplicate_title", "title", f"'This page''s <title> ' || {_QUOTE.format('title')} || ' is also used on '", "Change the titles so that no two pages share one."),
+        _shared_sql("DUP-003", "duplicate_content", "text", "'This page''s visible text is identical to '", "Merge these pages, or let canonical links name the one that is to be indexed."),
+    ]
+)
+_NAP = rf"""WITH {_FIELDS}, a AS (SELECT f.page_id, f.text, url, {_HOST} AS site FROM f JOIN (SELECT page_id, url FROM pages) u USING (page_id)),
+    c AS (SELECT site, page_id, url, unnest(l) AS raw, unnest(range(len(l))) AS i FROM (SELECT *, {_PHONE_SHAPED} AS l FROM a)),
+    n AS (SELECT *, CASE WHEN length(regexp_replace(raw, '\D', '', 'g')) BETWEEN 7 AND 15 THEN right(regexp_replace(raw, '\D', '', 'g'), 10) ELSE '' END AS v FROM c),
+    o AS (SELECT * FROM (SELECT * FROM n WHERE v <> '' QUALIFY row_number() OVER (PARTITION BY site, page_id, url, v ORDER BY i) = 1) QUALIFY row_number() OVER (PARTITION BY site, page_id, url ORDER BY i) <= 12),
+    g AS (SELECT site, v, count(*) AS n, min(page_id * 1000 + i) AS first, arg_min(raw, page_id * 1000 + i) AS raw FROM o GROUP BY ALL),
+    h AS (SELECT site, string_agg(raw, ' | ' ORDER BY first) AS raws, string_agg(v, ' | ' ORDER BY first) AS vs, count(*) AS forms, max(n) AS most, CAST(sum(n) AS BIGINT) AS total FROM g GROUP BY site),
+    u AS (SELECT site, string_agg(url, ' | ' ORDER BY first) AS urls FROM (SELECT site, url, min(page_id * 1000 + i) AS first FROM o GROUP BY ALL) GROUP BY site),
+    s AS (SELECT site, bool_or(regexp_matches(text, '{_ADDRESS}')) AS place, bool_or(regexp_matches(text, '{_COPYRIGHT}')) AS named FROM a GROUP BY site)
+    SELECT site, 'phone' AS field, coalesce(urls, '') AS pages_compared, coalesce(raws, '') AS "values", coalesce(vs, '') AS normalized_values, coalesce(round(most / total, 4), 0.0) AS confidence,
+      CASE WHEN total IS NULL THEN 'insufficient_data' WHEN forms = 1 THEN 'consistent' ELSE 'inconsistent' END AS verdict, coalesce(most, 0) AS majority_count, coalesce(total, 0) AS total
+    FROM s LEFT JOIN h USING (site) LEFT JOIN u USING (site)
+    UNION ALL SELECT site, unnest(['name', 'address']), '', '', '', 0.0, unnest([CASE WHEN NOT named THEN 'insufficient_data' END, CASE WHEN NOT place THEN 'insufficient_data' END]), 0, 0 FROM s"""
+
 ORACLE = {
+    "q1_audit": _AUDIT,
+    "q1_validated": _AUDIT,
+    "q2_nap_report": _NAP,
     "page_fields": f"WITH {_FIELDS} SELECT page_id, title, CAST(title_count AS INT) AS title_count, CAST(h1_count AS INT) AS h1_count, CAST(n_links AS INT) AS n_links, CAST(n_words AS INT) AS n_words, sha256(text) AS content_hash FROM f",
     "audit_counts": f"""WITH {_FIELDS}, k AS (
         SELECT CASE WHEN title IS NULL THEN 'SEO-TITLE-001' WHEN title = '' THEN 'SEO-TITLE-002' WHEN length(title) > 60 THEN 'SEO-TITLE-004' WHEN length(title) < 30 THEN 'SEO-TITLE-005' END AS check_id,
