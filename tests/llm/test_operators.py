@@ -133,6 +133,52 @@ def test_jaccard_chains(spark):
     assert len(set(group)) == 6 and got == {i: group.index(g) for i, g in enumerate(group)}
 
 
+def test_jaccard_links(spark):
+    """All links of texts of many sizes and likenesses; with long lists, and classes that share a little by chance."""
+    texts = []
+    for n in (5, 6, 9, 14, 30, 60, 110, 200):
+        for _ in range(3):
+            t = prose(n)
+            texts.append(t)
+            for cut in (1, n // 12, n // 9, n // 6):
+                texts.append(" ".join(t.split()[cut:]))
+                texts.append(f"{t} {prose(max(1, cut))}")
+            texts.append(changed(t, n // 2))
+            texts.append(f"{prose(n // 3)} {' '.join(t.split()[: n // 2])} {prose(n // 3)}")
+    sets = [shingles(t) for t in texts]
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if sets[i] != sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    first = {}
+    for i, x in enumerate(sets):
+        first.setdefault(frozenset(x), i)
+    want = {(first[frozenset(sets[i])], first[frozenset(sets[j])]) for i, j in want}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.a, r.b) for r in jaccard.jaccard_links(df).collect()}
+    assert got == {(min(p), max(p)) for p in want} and len(got) > 60
+
+
+def test_least_shared():
+    """No pair of linked sets shares fewer prefix shingles than the bound, by random sets that just link."""
+    least = []
+    for _ in range(3000):
+        n = int(RNG.integers(3, 120))
+        m = int(RNG.integers(-(-80 * n // 100), n + 1))
+        need = jaccard.required(n, m)
+        every = RNG.permutation(n + m - need)
+        both, x, y = every[:need], every[need:n], every[n:]
+        p = lambda s: set(sorted(s)[: len(s) - -(-80 * len(s) // 100) + 1])
+        shared = len(p([*both, *x]) & p([*both, *y]))
+        assert shared >= jaccard.least_shared(n, m) >= 1
+        least.append(shared - jaccard.least_shared(n, m))
+    assert min(least) == 0
+    for n in range(5, 300):
+        sizes = np.arange(-(-80 * n // 100), 100 * n // 80 + 1)
+        f = jaccard.least_shared(n, sizes)
+        for low in range(0, len(sizes), 7):
+            for high in range(low, len(sizes), 5):
+                a, b = min(int(sizes[low]), n), max(int(sizes[high]), n)
+                assert min(jaccard.least_shared(n, a), jaccard.least_shared(n, b)) - 1 <= f[low : high + 1].min()
+
+
 def test_divide_skip():
     sets = [np.unique(RNG.integers(0, 60, 40)).astype(np.uint64) for _ in range(50)]
     query = np.unique(RNG.integers(0, 60, 50)).astype(np.uint64)

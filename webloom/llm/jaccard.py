@@ -6,16 +6,19 @@ Two texts link when the Jaccard similarity of their sets of 5-word shingles is T
 2. By T-occurrence, classes of n and m shingles link only if they share ceil(4/9 (n + m)) of them, so
    a link shows among the shortest lists: it shares a shingle of both prefixes (n - ceil(0.8 n) + 1
    shingles, frequent ones last). The prefixes make the inverted lists, one shuffle for the corpus.
-3. Rounds of stars: each class of a list is held against HUBS classes of that list, drawn by a hash
+3. Linked classes share even least(n, m) shingles of both prefixes, see least_shared(). A class goes on
+   if for some number k at least k of its lists have a partner of a size for which k would do; most
+   texts that share a few shingles by chance end here.
+4. Rounds of stars: each class of a list is held against HUBS classes of that list, drawn by a hash
    that is the same in every list. Links so verified join classes into groups; lists within one group
    are done. Rounds go on, with other draws, as long as they join groups and the lists left hold
    more than PAIRS_A_ROW pairs of different groups for each row of all lists.
-4. Then every pair of classes from different groups that share a list is held against each other; so
-   no link between groups is missed, and few pairs inside a group are made.
-5. Pairs go on to verification if a bitmap of BITS parities allows a link: bits in which two sets'
+5. Then every pair of classes from different groups that share least(n, m) lists is held against each
+   other; so no link between groups is missed, and few pairs inside a group are made.
+6. Pairs go on to verification if a bitmap of BITS parities allows a link: bits in which two sets'
    parities differ are at most the shingles that only one of them has, so no link is lost. Within
    the lists the same is tried first with the bitmap folded to FOLDED bits, which stays one of parities.
-6. A pair is verified on whole texts: one class is the query, the others (in chunks) are an index
+7. A pair is verified on whole texts: one class is the query, the others (in chunks) are an index
    that DivideSkip searches: short lists are merged, long lists probed by binary search.
 
 The order of shingles affects speed alone; any order gives the same result.
@@ -58,6 +61,12 @@ def required(n: int, m: int) -> int:
     return -(-NUM * (n + m) // (NUM + DEN))
 
 
+def least_shared(n, m):
+    """How many shingles of both prefixes linked sets of n and m share at least. Up to where the first of the two prefixes ends, the other set's shingles stand in its prefix too, and of that prefix at most n - required(n, m) shingles are missed (m - required(n, m) if it is the other's)."""
+    most = np.maximum(n, m)
+    return -(-NUM * (n + m) // (NUM + DEN)) - -(-NUM * most // DEN) + 1
+
+
 def class_of(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s)) - 2**63
 
@@ -115,10 +124,9 @@ def _prefixes(heavy: np.ndarray):
                     late = heavy[np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)] == s
                     s = np.concatenate([s[~late], s[late]])
                 p = n - -(-NUM * n // DEN) + 1
-                index = n - required(n, n) + 1  # as the smaller of two, a shorter prefix will do
                 tokens.append(s[:p])
                 classes.append(np.full(p, c, dtype=np.int64))
-                sizes.append(np.where(np.arange(p) < index, n, -n))
+                sizes.append(np.full(p, n, dtype=np.int64))
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(sizes).astype(np.int32))], names=["token", "class", "n"])
 
@@ -126,7 +134,7 @@ def _prefixes(heavy: np.ndarray):
 
 
 def _lists(batches):
-    """Of rows (token, class, n) sorted by all three, those of tokens with several classes, each class once."""
+    """Of rows (token, class, n) sorted by all three, those of tokens with several classes, each class once. need: least_shared() at best, with any size between the list's least and largest (1 for a list that goes over several batches)."""
     sent = last = held = None  # the token of which rows went on, the last row's token and class, the one row of a token not sent yet
     for b in batches:
         t, c, n = (b.column(i).to_numpy() for i in range(3))
@@ -146,10 +154,15 @@ def _lists(batches):
         several = size > 1
         several[0] |= t[0] == sent
         keep = np.repeat(several, size)
+        low, high = (np.repeat(f.reduceat(n, at).astype(np.int64), size) for f in (np.minimum, np.maximum))
+        own = n.astype(np.int64)
+        low, high = np.maximum(low, -(-NUM * own // DEN)), np.minimum(high, DEN * own // NUM)
+        need = np.maximum(1, np.minimum(least_shared(own, np.minimum(low, own)), least_shared(own, np.maximum(high, own))) - 1)  # between the ends it falls short by 1 at most, as it is rounded
+        need[: size[0]] = need[len(t) - size[-1] :] = 1
         held = None if several[-1] else (t[-1:], c[-1:], n[-1:])
         sent = t[-1] if several[-1] else None
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(t[keep]), pa.array(c[keep]), pa.array(n[keep])], names=["token", "class", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(t[keep]), pa.array(c[keep]), pa.array(n[keep]), pa.array(need[keep].astype(np.int32))], names=["token", "class", "n", "need"])
 
 
 class DivideSkip:
@@ -236,16 +249,21 @@ def _entries(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     classes = materialize(classes.select("*", *folded), "jaccard-classes")
 
     entries = docs.select("text").mapInArrow(releasing(_prefixes(heavy)), "token long, class long, n int")
-    entries = entries.repartition("token").sortWithinPartitions("token", "class", F.desc("n"))
-    return sets, classes, materialize(entries.mapInArrow(releasing(_lists), "token long, class long, n int"), "jaccard-lists")
+    entries = entries.repartition("token").sortWithinPartitions("token", "class")
+    lists = materialize(entries.mapInArrow(releasing(_lists), "token long, class long, n int, need int"), "jaccard-all-lists")
+    needs = lists.groupBy("class").agg(F.array_sort(F.collect_list("need")).alias("needs"))  # no more than a prefix holds
+    can = needs.where(F.exists(F.transform("needs", lambda v, i: v <= i + 1), lambda x: x)).select("class")
+    out = materialize(lists.join(can, "class", "left_semi").select("token", "class", "n"), "jaccard-lists")
+    discard(lists)
+    return sets, classes, out
 
 
-_FITS = f"(n > 0 or hub_n > 0) and {DEN} * least(abs(n), abs(hub_n)) >= {NUM} * greatest(abs(n), abs(hub_n))"
+_FITS = f"{DEN} * least(n, hub_n) >= {NUM} * greatest(n, hub_n)"
 
 
 def _allowed(differ: str) -> str:
-    """SQL: whether sets of |n| and |hub_n| shingles of which so many differ at least can link."""
-    joint = "(abs(n) + abs(hub_n))"
+    """SQL: whether sets of n and hub_n shingles of which so many differ at least can link."""
+    joint = "(n + hub_n)"
     return f"{differ} <= {joint} - 2 * (({NUM} * {joint} + {NUM + DEN - 1}) div {NUM + DEN})"
 
 
@@ -261,8 +279,7 @@ def _stars(members: DataFrame, round_: int) -> DataFrame:
     draw = lambda i: F.min(F.struct(F.xxhash64("class", F.lit(HUBS * round_ + i)).alias("h"), F.col("class").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp")))
     hubs = members.groupBy("token").agg(F.array_distinct(F.array(*[F.struct(d["hub"].alias("hub"), d["hub_n"].alias("hub_n"), d["hub_comp"].alias("hub_comp")) for d in map(draw, range(HUBS))])).alias("hubs"))
     pairs = members.join(hubs, "token").select("class", "n", "comp", F.inline("hubs")).where(f"comp <> hub_comp and {_FITS}")
-    # the sign of n, whether the index prefix has the token, has done its part
-    return pairs.select("class", "hub", F.abs("n").alias("n"), F.abs("hub_n").alias("hub_n")).distinct()
+    return pairs.select("class", "hub", "n", "hub_n").distinct()
 
 
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -299,8 +316,9 @@ def _pairs(members: DataFrame, classes: DataFrame, more: str) -> DataFrame:
     x, y = own.alias("x"), own.select("token", F.col("class").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"), *_BITMAP).alias("y")
     differ = " + ".join(f"bit_count(x.{b} ^ y.{b})" for b in _BITMAP)
     fits = F.expr(f"x.token = y.token and class < hub and {more} and {_FITS} and {_allowed(differ)}")
-    pairs = x.join(y, fits).select("class", "hub", F.abs("n").alias("n"), F.abs("hub_n").alias("hub_n")).distinct()
-    return _filtered(pairs, classes)
+    pairs = x.join(y, fits).groupBy("class", "hub", "n", "hub_n").agg(F.count("*").alias("shared"))
+    least = f"(({NUM} * (n + hub_n) + {NUM + DEN - 1}) div {NUM + DEN}) - (({NUM} * greatest(n, hub_n) + {DEN - 1}) div {DEN}) + 1"
+    return _filtered(pairs.where(f"shared >= {least}"), classes)
 
 
 def jaccard_links(docs: DataFrame) -> DataFrame:
