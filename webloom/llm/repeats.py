@@ -25,6 +25,7 @@ Other columns of the input are ignored.
 from __future__ import annotations
 
 import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -96,30 +97,32 @@ def _combined(key: np.ndarray) -> np.ndarray:
 
 def _parsed(batches):
     names = ["route", "k2", "k3", "k1", "rid", "lo", "hi", "p", "kind"]
-    rows: list = []
-    free: list = []
+    keys, places, free = array("Q"), array("q"), array("q")  # flat: three keys and four places of each phrase, three numbers of each loose range
 
     def send():
-        a = np.array([r[:3] for r in rows], dtype=np.uint64).reshape(-1, 3)
-        b = np.array([r[3:] for r in rows], dtype=np.int64).reshape(-1, 4)
-        rows.clear()
+        a = np.array(keys, dtype=np.uint64).reshape(-1, 3)
+        b = np.array(places, dtype=np.int64).reshape(-1, 4)
+        del keys[:], places[:]
         kind = _combined(a[:, 2]) if len(a) else np.empty(0, dtype=np.int64)
         route = np.where(kind == KNOWN, b[:, 0].view(np.uint64) + b[:, 3].view(np.uint64) * _U(0x9E3779B97F4A7C15), a[:, 0])
         yield pa.RecordBatch.from_arrays([_signed(route), _signed(a[:, 0]), _signed(a[:, 1]), _signed(a[:, 2]), pa.array(b[:, 0]), *[pa.array(b[:, i].astype(np.int32)) for i in (1, 2, 3)], pa.array(kind.astype(np.int8))], names=names)
         if free:
-            c = np.array(free, dtype=np.int64)
-            free.clear()
+            c = np.array(free, dtype=np.int64).reshape(-1, 3)
+            del free[:]
             zero = pa.array(np.zeros(len(c), dtype=np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(c[:, 0] + c[:, 1]), zero, zero, zero, pa.array(c[:, 0]), *[pa.array(c[:, i].astype(np.int32)) for i in (1, 2, 2)], pa.array(np.full(len(c), LOOSE, dtype=np.int8))], names=names)
 
     for b in batches:
         for rid, raw in zip(b.column(0).to_pylist(), column_bytes(b.column(1)), strict=True):
             own, loose = phrases(raw)
-            rows.extend((k2, k3, k1, rid, lo, hi, p) for k2, k3, k1, lo, hi, p in own)
-            free.extend((rid, x, y) for x, y in loose)
-            if len(rows) > HELD:
+            for k2, k3, k1, lo, hi, p in own:
+                keys.extend((k2, k3, k1))
+                places.extend((rid, lo, hi, p))
+            for x, y in loose:
+                free.extend((rid, x, y))
+            if len(keys) + len(free) > 3 * HELD:
                 yield from send()
-    if rows or free:
+    if keys or free:
         yield from send()
 
 
@@ -134,19 +137,22 @@ def _starts(key: np.ndarray, within: np.ndarray | None = None) -> np.ndarray:
 
 def _groups(batches, columns: int):
     """Tables of whole groups of the first column, of rows sorted by it; never more rows than a batch and one group."""
-    held = None
+    held: list[list[np.ndarray]] = []  # batches of the group that is not ended yet
     for b in batches:
         t = [b.column(i).to_numpy() for i in range(columns)]
-        if held is not None:
-            t = [np.concatenate([x, y]) for x, y in zip(held, t, strict=True)]
         if not len(t[0]):
             continue
+        if held and t[0][0] == held[0][0][-1] == t[0][-1]:
+            held.append(t)
+            continue
+        if held:
+            t = [np.concatenate([*(h[i] for h in held), x]) for i, x in enumerate(t)]
         cut = int(np.searchsorted(t[0], t[0][-1]))
-        held = [x[cut:] for x in t]
+        held = [[x[cut:] for x in t]]
         if cut:
             yield [x[:cut] for x in t]
-    if held is not None and len(held[0]):
-        yield held
+    if held:
+        yield [np.concatenate([h[i] for h in held]) for i in range(columns)]
 
 
 def _classified(batches):
@@ -186,13 +192,11 @@ def _classified(batches):
 
 def _places(batches):
     """(route, key, rid, i, kind) of each place to be tested."""
-    keys: list[int] = []
-    rids: list[int] = []
-    at: list[int] = []
+    keys, rids, at = array("Q"), array("q"), array("q")
 
     def send():
         key, rid, i = np.array(keys, dtype=np.uint64), np.array(rids, dtype=np.int64), np.array(at, dtype=np.int64)
-        keys.clear(), rids.clear(), at.clear()
+        del keys[:], rids[:], at[:]
         kind = _combined(key)
         route = np.where(kind == KNOWN, rid.view(np.uint64) + i.view(np.uint64) * _U(0x9E3779B97F4A7C15), key)
         return pa.RecordBatch.from_arrays([_signed(route), _signed(key), pa.array(rid), pa.array(i.astype(np.int32)), pa.array(kind.astype(np.int8))], names=["route", "key", "rid", "i", "kind"])
