@@ -41,29 +41,29 @@ def test_hosts_and_keys(spark):
 
 
 def test_phones(spark):
-    good = ["503-555-0147", "(503) 555-0147", "+1 503 555 0147", "503.555.0147", "5035550147", "+1 (503) 555-0147"]
-    assert set(col(spark, good, C.normalize_phone)) == {"5035550147"}
+    good = ["415-555-0123", "(415) 555-0123", "+1 415 555 0123", "415.555.0123", "4155550123", "+1 (415) 555-0123"]
+    assert set(col(spark, good, C.normalize_phone)) == {"4155550123"}
     assert set(col(spark, ["", "12345", "2026", "$1,299.00", "1" * 20, "words", None], C.normalize_phone)) == {""}
-    shapes = ["503-555-0147", "2001-2026", "2026-01-15", "1 1 2 3 5 8 13", "+919876543210", "1234567890"]
+    shapes = ["415-555-0123", "2001-2026", "2026-01-15", "1 1 2 3 5 8 13", "+919876543210", "1234567890"]
     assert col(spark, shapes, C.is_phone_shaped) == [True, False, False, False, True, False]
-    assert col(spark, ["call (503) 555-0147 now"], C.phones) == [["503) 555-0147"]]
+    assert col(spark, ["call (415) 555-0123 now"], C.phones) == [["415) 555-0123"]]
 
 
 def test_addresses_and_names(spark):
-    assert col(spark, ["412 SE Ankeny St.", "St Louis Avenue", "9 Main Rd, Ste 300"], C.normalize_address) == ["412 southeast ankeny street", "st louis avenue", "9 main road suite 300"]
+    assert col(spark, ["77 NW Pine St.", "St Louis Avenue", "9 Main Rd, Ste 300"], C.normalize_address) == ["77 northwest pine street", "st louis avenue", "9 main road suite 300"]
     assert col(spark, ["Zabar’s Inc.", "Acme, LLC"], C.normalize_name) == ["zabars inc", "acme llc"]
     assert col(spark, ["acme inc", "acme co ltd", "inc"], C.strip_legal_suffix) == ["acme", "acme", ""]
-    assert col(spark, ["9 main road suite 300", "9 main road portland", "9 main road"], lambda c: C.address_subsumes(c, F.lit("9 main road"))) == [False, True, False]
+    assert col(spark, ["9 main road suite 300", "9 main road lisbon", "9 main road"], lambda c: C.address_subsumes(c, F.lit("9 main road"))) == [False, True, False]
     assert col(spark, ["2026 Terms of service Close", "12 Oak Street"], C.addresses) == [[], ["12 Oak Street"]]
-    assert col(spark, ["© 2026 Ridge Coffee", "© 2026 All Rights Reserved"], C.copyright_names) == [["Ridge Coffee"], []]
+    assert col(spark, ["© 2026 Harbor Bikes", "© 2026 All Rights Reserved"], C.copyright_names) == [["Harbor Bikes"], []]
 
 
 def test_text(spark):
     assert col(spark, [" a\x1c b \n"], T.normalize_whitespace) == ["a b"]
-    assert col(spark, ["The roasting of coffee beans, für class"], T.tokenize) == [["roasting", "coffee", "bean", "f", "r", "class"]]
+    assert col(spark, ["The repairing of bicycle wheels, für class"], T.tokenize) == [["repairing", "bicycle", "wheel", "f", "r", "class"]]
     assert col(spark, ["x" * 201], T.quote) == ['"' + "x" * 200 + '..."']
-    q = T.tokenize(F.lit("roasting coffee beans"))
-    assert col(spark, ["We roast coffee beans daily"], lambda c: T.coverage(q, T.tokenize(c))) == [pytest.approx(2 / 3)]
+    q = T.tokenize(F.lit("repairing bicycle wheels"))
+    assert col(spark, ["We repair bicycle wheels daily"], lambda c: T.coverage(q, T.tokenize(c))) == [pytest.approx(2 / 3)]
     assert col(spark, ["a"], lambda c: T.coverage(T.tokenize(F.lit("the of")), T.tokenize(c))) == [0.0]
 
 

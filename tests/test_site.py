@@ -11,20 +11,20 @@ from webloom.operators.extract import extract, lift_pages
 from webloom.operators.markup import content_blocks, extract_page, json_ld, microdata, parse
 from webloom.plans import pipeline
 
-LD = {"@context": "x", "@graph": [{"@type": "LocalBusiness", "name": "Ridge Coffee", "telephone": "(503) 555-0147", "address": {"streetAddress": "412 SE Oak St", "addressLocality": "Portland"}}]}
+LD = {"@context": "x", "@graph": [{"@type": "LocalBusiness", "name": "Harbor Bikes", "telephone": "(415) 555-0123", "address": {"streetAddress": "77 NW Pine St", "addressLocality": "Lisbon"}}]}
 WORDS = " ".join(f"word{i}" for i in range(160))
-CLEAN = f"""<html><head><title>Ridge Coffee roasts beans in Portland</title><meta name="description" content="{'d' * 100}"><link rel="canonical" href="/">
+CLEAN = f"""<html><head><title>Harbor Bikes repairs wheels in Lisbon</title><meta name="description" content="{'d' * 100}"><link rel="canonical" href="/">
 <meta name="robots" content="index, follow"><meta property="og:title" content="a"><meta property="og:description" content="b"><meta property="og:image" content="c">
-<script type="application/ld+json">{json.dumps(LD)}</script></head><body><nav><a href="/about">About the company we are</a></nav><main><h1>Ridge</h1><h2>Beans</h2>
-<p>We roast coffee beans daily in small batches.</p><p>{WORDS}</p><img src="a.png" alt=""><a href="/gone">gone</a></main><footer>© 2026 Ridge Coffee</footer></body></html>"""
+<script type="application/ld+json">{json.dumps(LD)}</script></head><body><nav><a href="/about">About the company we are</a></nav><main><h1>Harbor</h1><h2>Wheels</h2>
+<p>We repair bicycle wheels daily in small batches.</p><p>{WORDS}</p><img src="a.png" alt=""><a href="/gone">gone</a></main><footer>© 2026 Harbor Bikes</footer></body></html>"""
 MESSY = """<head><title></title><link rel=canonical href="http://[bad"><link rel=canonical href="/b"><meta name=ROBOTS content="NOINDEX,nofollow"><meta name=description content="">
 <body><h1>One</h1><p>Unclosed para one that is long enough<p>wor<b>ld</b> two<h1>Two</h1><h3>Three</h3><ul><li>first item of the list is long<li>second item of the list is long</ul><img src=x.png><img src=y.png alt="">
 <script type="application/ld+json">{broken</script>"""
-ABOUT = """<title>Ridge Coffee roasts beans in Portland</title><body><p>Call (503) 555-0199 today, or visit 412 Southeast Oak Street Suite 300.</p><a href="tel:+15035550147">503-555-0147</a><footer>© 2026 Ridge Coffee LLC</footer>"""
+ABOUT = """<title>Harbor Bikes repairs wheels in Lisbon</title><body><p>Call (415) 555-0188 today, or visit 77 Northwest Pine Street Suite 300.</p><a href="tel:+14155550123">415-555-0123</a><footer>© 2026 Harbor Bikes LLC</footer>"""
 
 
 def fetches(spark, extra=()):
-    pages = spark.createDataFrame([(0, "https://ridge.example/", CLEAN), (1, "https://ridge.example/messy", MESSY), (2, "https://ridge.example/about", ABOUT), *extra], "page_id long, url string, html string")
+    pages = spark.createDataFrame([(0, "https://harbor.example/", CLEAN), (1, "https://harbor.example/messy", MESSY), (2, "https://harbor.example/about", ABOUT), *extra], "page_id long, url string, html string")
     return lift_pages(pages)
 
 
@@ -42,7 +42,7 @@ def test_parse_recovers():
 
 def test_content_and_structures():
     root = parse(CLEAN)
-    assert "About the company we are" not in content_blocks(root) and content_blocks(root)[0].startswith("We roast")
+    assert "About the company we are" not in content_blocks(root) and content_blocks(root)[0].startswith("We repair")
     assert [d["@type"] for d in json_ld(root)] == ["LocalBusiness"]
     item = microdata(parse('<div itemscope itemtype="http://schema.org/Store"><span itemprop=priceRange>££</span><div itemprop=address itemscope itemtype="http://schema.org/PostalAddress"><meta itemprop=postalCode content=1></div></div>'))
     assert item == [{"@type": "Store", "priceRange": "££", "address": {"@type": "PostalAddress", "postalCode": "1"}}]
@@ -54,24 +54,24 @@ def checks(df, url):
 
 def test_page_checks(spark):
     f = Q1.page_findings(extract(fetches(spark))).cache()
-    assert checks(f, "https://ridge.example/") == []
-    assert checks(f, "https://ridge.example/messy") == ["CANON-002", "CONTENT-001", "HEAD-002", "HEAD-004", "IMG-001", "INDEX-001", "INDEX-002", "META-002", "SOCIAL-001", "TITLE-002"]
+    assert checks(f, "https://harbor.example/") == []
+    assert checks(f, "https://harbor.example/messy") == ["CANON-002", "CONTENT-001", "HEAD-002", "HEAD-004", "IMG-001", "INDEX-001", "INDEX-002", "META-002", "SOCIAL-001", "TITLE-002"]
     by = {r.check_id: r.evidence for r in f.collect() if r.page.endswith("messy")}
     assert by["SEO-HEAD-004"] == "Heading levels jump from <h1> to <h3> with no <h2> in between."
-    assert by["SEO-IMG-001"] == "1 of 2 <img> elements have no alt attribute: https://ridge.example/x.png"
+    assert by["SEO-IMG-001"] == "1 of 2 <img> elements have no alt attribute: https://harbor.example/x.png"
     assert by["SEO-CANON-002"].endswith("the first points to None.")
 
 
 def test_cross_page_and_validation(spark):
-    gone = spark.createDataFrame([("ridge.example", 9, "https://ridge.example/gone", 404)], "site string, pos long, url string, status_code int")
+    gone = spark.createDataFrame([("harbor.example", 9, "https://harbor.example/gone", 404)], "site string, pos long, url string, status_code int")
     base = fetches(spark)
     more = base.unionByName(gone.select("site", "pos", "url", F.col("url").alias("final_url"), "status_code", F.lit(None).cast("timestamp").alias("fetched_at"), F.lit("").alias("html"), F.lit(1).alias("depth"), F.lit("text/html").alias("content_type"), F.array().cast("array<string>").alias("x_robots_tag"), F.array(F.lit("https://a/"), F.lit("https://b/")).alias("redirect_chain"), F.lit(None).cast("string").alias("error")))
     pages = extract(more).cache()
     found = Q1.audit(pages, more).cache()
     by = {(r.check_id, r.page): r.evidence for r in found.collect()}
-    assert by["SEO-DUP-001", "https://ridge.example/about"] == 'This page\'s <title> "Ridge Coffee roasts beans in Portland" is also used on 1 other page(s): https://ridge.example/'
-    assert by["SEO-LINK-001", "https://ridge.example/"] == "1 internal link(s) on this page returned an error status during the crawl: https://ridge.example/gone (404)"
-    assert by["SEO-REDIR-001", "https://ridge.example/gone"] == "2 redirect hops before the final URL: https://a/ -> https://b/ -> https://ridge.example/gone"
+    assert by["SEO-DUP-001", "https://harbor.example/about"] == 'This page\'s <title> "Harbor Bikes repairs wheels in Lisbon" is also used on 1 other page(s): https://harbor.example/'
+    assert by["SEO-LINK-001", "https://harbor.example/"] == "1 internal link(s) on this page returned an error status during the crawl: https://harbor.example/gone (404)"
+    assert by["SEO-REDIR-001", "https://harbor.example/gone"] == "2 redirect hops before the final URL: https://a/ -> https://b/ -> https://harbor.example/gone"
     kept = {r.check_id for r in V.valid_findings(found, pages).collect()}
     assert "SEO-LINK-001" not in kept and "SEO-REDIR-001" not in kept and "SEO-DUP-001" in kept
     assert {r.check_id for r in V.valid_findings(found, pages, more).collect()} >= {"SEO-LINK-001", "SEO-REDIR-001"}
@@ -86,8 +86,8 @@ def test_nap(spark):
     report = Q2.describe(Q2.nap_report(pages)).cache()
     r = {x.field: x for x in report.collect()}
     assert r["name"].verdict == "inconsistent" and "differ only by legal suffix" in r["name"].explanation
-    assert r["phone"].normalized_values == ["5035550147"] and r["phone"].verdict == "consistent"  # the visible one gives way to the link
-    assert r["address"].normalized_values == ["412 southeast oak street portland"] and r["address"].verdict == "consistent"
+    assert r["phone"].normalized_values == ["4155550123"] and r["phone"].verdict == "consistent"  # the visible one gives way to the link
+    assert r["address"].normalized_values == ["77 northwest pine street lisbon"] and r["address"].verdict == "consistent"
     plain = report.drop("explanation")
     assert V.valid_report(plain, pages).count() == 3
     assert V.valid_report(plain.withColumn("verdict", F.lit("consistent")), pages).count() == 2
@@ -96,11 +96,11 @@ def test_nap(spark):
 
 def test_answers(spark):
     pages = extract(fetches(spark)).cache()
-    q = spark.createDataFrame([("ridge.example", 1, "roasting coffee beans daily?"), ("ridge.example", 2, "Do you sell roast coffee beans daily"), ("ridge.example", 3, "refund policy"), ("ridge.example", 4, "the of")], "site string, qid int, query string")
+    q = spark.createDataFrame([("harbor.example", 1, "repairing bicycle wheels daily?"), ("harbor.example", 2, "Do you sell repair bicycle wheels daily"), ("harbor.example", 3, "refund policy"), ("harbor.example", 4, "the of")], "site string, qid int, query string")
     a = {r.qid: r for r in A.answer(pages, q).collect()}
-    assert a[1].excerpt == "We roast coffee beans daily in small batches." and a[1].match_type == "exact_substring"
+    assert a[1].excerpt == "We repair bicycle wheels daily in small batches." and a[1].match_type == "exact_substring"
     assert a[2].excerpt is not None and a[3].excerpt is None and a[4].url is None
-    good = spark.createDataFrame([("ridge.example", "https://ridge.example/", '"We roast  coffee beans daily"'), ("ridge.example", "https://ridge.example/", "never said"), ("ridge.example", None, None)], "site string, url string, excerpt string").withColumn("match_type", F.lit("exact_substring"))
+    good = spark.createDataFrame([("harbor.example", "https://harbor.example/", '"We repair  bicycle wheels daily"'), ("harbor.example", "https://harbor.example/", "never said"), ("harbor.example", None, None)], "site string, url string, excerpt string").withColumn("match_type", F.lit("exact_substring"))
     assert [r.match_type for r in V.valid_answers(good, pages).orderBy(F.desc("excerpt")).collect()].count("exact_substring") == 1
 
 
@@ -113,19 +113,19 @@ def test_hooks(spark):
         raise RuntimeError
 
     assert hooks.suggest_fixes(f, fails).select("suggested_fix").distinct().count() == f.select("suggested_fix").distinct().count()
-    v = hooks.recover_values(pages, ["phone"], lambda p: '<think>x</think>```json\n{"phone": "(503) 555-0199", "name": "no"}```').collect()
-    assert [(r.page, r.normalized_value) for r in v] == [("https://ridge.example/about", "5035550199")]
+    v = hooks.recover_values(pages, ["phone"], lambda p: '<think>x</think>```json\n{"phone": "(415) 555-0188", "name": "no"}```').collect()
+    assert [(r.page, r.normalized_value) for r in v] == [("https://harbor.example/about", "4155550188")]
     assert hooks.filter_candidates(Q2.candidates(pages), lambda p: "No." if "phone" in p else "yes").where("field = 'phone'").count() == 0
 
 
 def test_pipeline_files(spark, tmp_path):
-    q = spark.createDataFrame([("ridge.example", 1, "roast coffee beans daily")], "site string, qid int, query string")
+    q = spark.createDataFrame([("harbor.example", 1, "repair bicycle wheels daily")], "site string, qid int, query string")
     r = pipeline.run(fetches(spark), q)
-    files = pipeline.write_site(r, str(tmp_path), "ridge.example")
+    files = pipeline.write_site(r, str(tmp_path), "harbor.example")
     assert set(files) == {"audit", "nap_report", "answer"}
     audit = json.loads((tmp_path / "audit.json").read_text())
     assert audit and set(audit[0]) == {"metric", "page", "severity", "evidence", "suggested_fix"} and audit[0]["severity"] == "critical"
-    assert json.loads((tmp_path / "answer.json").read_text())["url"] == "https://ridge.example/"
+    assert json.loads((tmp_path / "answer.json").read_text())["url"] == "https://harbor.example/"
     assert [x["field"] for x in json.loads((tmp_path / "nap_report.json").read_text())] == ["name", "address", "phone"]
 
 
