@@ -1,4 +1,10 @@
-"""A training-corpus pipeline: five stages, each written as Parquet and read again by the next."""
+"""A training-corpus pipeline: five stages, each written as Parquet and read again by the next.
+
+Null, empty and word-less texts pass the first four stages as they are and are packed as an end id.
+Rows without a doc_id are judged like others: toxic ones, near copies and leaks among them go. Of rows
+that repeat a doc_id and a text one stays; rows that repeat a doc_id with other texts are told apart.
+An empty table gives an empty result. All stages but the last keep all columns.
+"""
 
 from __future__ import annotations
 
