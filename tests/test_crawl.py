@@ -54,3 +54,51 @@ def test_fetch_retries():
 
     assert fetch("http://x/", get=broken, pause=lambda s: None)[2] == 0
     assert K.crawl_delay("User-agent: *\nCrawl-delay: 3", "b") == 3.0
+
+
+def network(pages):
+    """How to get the addresses of a small network; a closure, so that workers need not import this file."""
+
+    def get(url, agent, timeout):
+        if url not in pages:
+            return url, 404, {"Content-Type": "text/html"}, b"", []
+        kind, body = pages[url]
+        return url, 200, {"Content-Type": kind}, body, []
+
+    return get
+
+
+def test_live_crawl(spark, tmp_path):
+    from webloom.plans import pipeline
+
+    html = "text/html; charset=utf-8"
+    net = network(
+        {
+            "https://s.example/robots.txt": ("text/plain", b"User-agent: *\nDisallow: /no/\nCrawl-delay: 1\nSitemap: https://s.example/maps/a.xml"),
+            "https://s.example/maps/a.xml": ("text/xml", b"<sitemapindex><sitemap><loc>https://s.example/maps/b.xml</loc></sitemap></sitemapindex>"),
+            "https://s.example/maps/b.xml": ("text/xml", b"<urlset><url><loc>https://s.example/hidden</loc></url></urlset>"),
+            "https://s.example/sitemap.xml": ("text/xml", b"<urlset><url><loc>https://s.example/usual</loc></url></urlset>"),
+            "https://s.example/": (html, b"<title>Home</title><a href='/a'>a</a><a href='/no/b'>b</a><a href='/gone'>c</a><p>We mend bicycle wheels every day of the week.</p>"),
+            "https://s.example/a": (html, b"<title>A</title>"),
+            "https://s.example/hidden": (html, b"<title>Hidden</title>"),
+            "https://s.example/usual": (html, b"<title>Usual</title>"),
+        }
+    )
+    seeds = spark.createDataFrame([("s.example", "https://s.example/")], "site string, url string")
+    pages, skipped, notes = K.live_crawl(seeds, get=net, pause=lambda s: None)
+    status = {r.url.removeprefix("https://s.example"): (r.status_code, r.depth) for r in pages.collect()}
+    assert status == {"/": (200, 0), "/hidden": (200, 1), "/usual": (200, 1), "/a": (200, 1), "/gone": (404, 1)}
+    assert [(r.url, r.reason) for r in skipped.collect()] == [("https://s.example/no/b", "robots_disallow")]
+    assert [tuple(r) for r in notes.collect()] == [("s.example", "ok", 2)]
+    few, _, notes = K.live_crawl(seeds, respect_robots=False, use_sitemap=False, get=net, pause=lambda s: None)
+    assert few.count() == 4 and notes.first().sitemap_urls_found == 0
+    result, notes = pipeline.run_site(spark, "https://s.example/", "Do you mend bicycle wheels?", get=net, pause=lambda s: None)
+    assert result.answers.first().excerpt == "We mend bicycle wheels every day of the week." and result.findings.count() > 0
+    n = notes.first()
+    assert (n.pages_fetched, n.pages_ok, n.robots, n.skipped) == (5, 4, "ok", {"robots_disallow": 1})
+
+
+def test_robots_delay(spark):
+    bodies = ["User-agent: *\nCrawl-delay: 4", "User-agent: *\nRequest-rate: 1/8", "", None]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, body string")
+    assert [r.d for r in df.orderBy("i").select(K.host_delay("webloom")("body").alias("d")).collect()] == [4.0, 8.0, 0.0, 0.0]

@@ -17,7 +17,9 @@ from webloom.operators import audit as Q1
 from webloom.operators import contacts as Q2
 from webloom.operators import hooks
 from webloom.operators import validate as V
+from webloom.functions import urls as U
 from webloom.operators.extract import extract, lift_pages
+from webloom.sources.crawl import crawl_report, live_crawl
 from webloom.storage import materialize
 
 FILES = {"audit": "audit.json", "nap_report": "nap_report.json", "answer": "answer.json"}
@@ -54,6 +56,15 @@ def run(fetches: DataFrame, questions: DataFrame | None = None, q1: bool = True,
     return out
 
 
+def run_site(spark: SparkSession, url: str, question: str | None = None, q1: bool = True, q2: bool = True, q3: bool = True, generate: Callable[[str], str] | None = None, **crawl_options) -> tuple[Result, DataFrame]:
+    """Crawl from url over the network, then run(); also the notes of the crawl: pages, skip reasons, robots and sitemaps."""
+    seeds = spark.createDataFrame([(url,)], "url string").select(U.host_of(F.col("url")).alias("site"), "url")
+    fetches, skipped, notes = live_crawl(seeds, **crawl_options)
+    fetches = materialize(fetches, "fetches")
+    questions = seeds.select("site", F.lit(0).alias("qid"), F.lit(question).alias("query")) if question else None
+    return run(fetches, questions, q1, q2, q3, generate), crawl_report(fetches, skipped).join(notes, "site", "full")
+
+
 def severity_counts(findings: DataFrame) -> DataFrame:
     return findings.groupBy("severity").agg(F.count("*").alias("n"))
 
@@ -89,19 +100,27 @@ def write_site(result: Result, folder: str, site: str) -> dict[str, str]:
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="webloom", description="Audit a table of pages.")
-    p.add_argument("pages", help="Parquet with page_id, url, html")
+    p.add_argument("pages", help="Parquet with page_id, url, html; or the address of a site to crawl")
     p.add_argument("out")
     p.add_argument("--question")
+    p.add_argument("--max-pages", type=int, default=100)
+    p.add_argument("--max-depth", type=int, default=3)
+    p.add_argument("--timeout", type=float, default=10)
     for q in ("q1", "q2", "q3"):
         p.add_argument(f"--{q}", action="store_true", help="run only the parts that are named")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("webloom").getOrCreate()
+    every = not (a.q1 or a.q2 or a.q3)
+    if a.pages.startswith(("http://", "https://")):
+        result, notes = run_site(spark, a.pages, a.question, every or a.q1, every or a.q2, every or a.q3, max_pages=a.max_pages, max_depth=a.max_depth, timeout=a.timeout)
+        write_tables(result, a.out)
+        notes.show(truncate=False)
+        return 0
     try:
         pages = spark.read.parquet(a.pages)
     except Exception as e:  # noqa: BLE001
         print(f"cannot read {a.pages}: {e}", file=sys.stderr)
         return 2
-    every = not (a.q1 or a.q2 or a.q3)
     fetches = lift_pages(pages)
     questions = fetches.select("site").distinct().select("site", F.lit(0).alias("qid"), F.lit(a.question).alias("query")) if a.question else None
     result = run(fetches, questions, every or a.q1, every or a.q2, every or a.q3)

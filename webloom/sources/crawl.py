@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gzip
-import re
 import urllib.robotparser
 import xml.etree.ElementTree as ET
 
@@ -14,12 +13,12 @@ from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, S
 
 from webloom.functions import urls as U
 from webloom.operators.extract import is_html, is_ok
+from webloom.sources.http import fetched
 from webloom.storage import materialize
 
 HREF = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']+)["']"""
 SITEMAP_PATHS = ["/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/sitemap/sitemap.xml"]
 SITEMAP_DEPTH, SITEMAP_CAP = 3, 5000
-RETRY_STATUS = [429, 500, 502, 503, 504]
 
 
 def frontier_links(html: Column) -> Column:
@@ -62,6 +61,23 @@ def crawl_delay(body: str | None, agent: str, least: float = 0.2) -> float:
     return max(least, float(told))
 
 
+def host_delay(agent: str):
+    """Column function (body): the seconds that robots rules ask for between fetches, 0 if none."""
+    return F.pandas_udf(lambda body: pd.Series([crawl_delay(b, agent, 0.0) for b in body]), "double")
+
+
+def sitemap_lines(body: Column) -> Column:
+    """The addresses in the Sitemap lines of robots rules."""
+    return F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(r"(?im)^\s*sitemap\s*:\s*(\S+)"), 1)
+
+
+def sitemap_seeds(seeds: DataFrame, robots: DataFrame) -> DataFrame:
+    """(site, url) where sitemaps may lie: those that robots rules name and the usual places. seeds(site, url), robots(site, status_code, body)."""
+    named = robots.where("status_code < 400").select("site", F.explode(sitemap_lines(F.col("body"))).alias("url"))
+    usual = seeds.select("site", F.explode(F.transform(F.array(*[F.lit(p) for p in SITEMAP_PATHS]), lambda p: F.concat(F.regexp_extract("url", r"(?i)^(https?://[^/?#]*)", 1), p))).alias("url"))
+    return named.union(usual).distinct()
+
+
 def allowed(candidates: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
     """candidates(site, url) with allowed; robots(site, status_code, body). A failing server denies all, a missing file allows all."""
     r = robots.select("site", robots_status(F.col("status_code"), F.col("body")).alias("robots"), "body")
@@ -93,12 +109,13 @@ def sitemap_entries(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"kind": [r[0] for r in rows], "locs": [r[1] for r in rows]})
 
 
-def sitemap_urls(seeds: DataFrame, documents: DataFrame, cap: int = SITEMAP_CAP) -> DataFrame:
-    """seeds(site, url) of sitemaps, documents(url, body binary): (site, url) that they list, through indexes SITEMAP_DEPTH deep."""
-    docs = documents.select("url", sitemap_entries("body").alias("s")).select("url", "s.kind", "s.locs")
+def sitemap_urls(seeds: DataFrame, documents, cap: int = SITEMAP_CAP) -> DataFrame:
+    """seeds(site, url) of sitemaps: (site, url) that they list, through indexes SITEMAP_DEPTH deep. documents: a table (url, body binary), or a function that fetches such a table for urls(url)."""
+    entries = lambda d: d.select("url", sitemap_entries("body").alias("s")).select("url", "s.kind", "s.locs")
     level, found, seen = seeds.select("site", "url").distinct(), None, None
     for depth in range(SITEMAP_DEPTH + 1):
         seen = level if seen is None else materialize(seen.union(level).distinct(), "sitemaps-seen")
+        docs = entries(materialize(documents(level.select("url").distinct()), "sitemap-files") if callable(documents) else documents)
         here = level.join(docs, "url")
         urls = here.where("kind = 'urlset'").select("site", "url", F.posexplode("locs").alias("i", "raw")).select("site", F.lit(depth).alias("d"), F.col("url").alias("map"), "i", U.normalize_url("raw").alias("url"))
         found = urls if found is None else found.union(urls)
@@ -108,8 +125,8 @@ def sitemap_urls(seeds: DataFrame, documents: DataFrame, cap: int = SITEMAP_CAP)
     return first.withColumn("k", F.row_number().over(Window.partitionBy("site").orderBy("at"))).where(F.col("k") <= cap).select("site", "url")
 
 
-def crawl(seeds: DataFrame, web: DataFrame, max_pages: int = 100, max_depth: int = 3, robots: DataFrame | None = None, sitemap: DataFrame | None = None, agent: str = "webloom", include_subdomains: bool = False) -> tuple[DataFrame, DataFrame]:
-    """seeds(site, url), web(url, final_url, status_code, html, content_type, x_robots_tag, redirect_chain, error): what fetching yields.
+def crawl(seeds: DataFrame, web, max_pages: int = 100, max_depth: int = 3, robots: DataFrame | None = None, sitemap: DataFrame | None = None, agent: str = "webloom", include_subdomains: bool = False) -> tuple[DataFrame, DataFrame]:
+    """seeds(site, url). web: a table (url, final_url, status_code, html, content_type, x_robots_tag, redirect_chain, error) of what fetching yields, or a function that fetches such a table for urls(url, delay).
 
     Returns fetches(site, pos, depth, ...) and skipped(site, url, reason). A wave is the frontier within the
     site's budget of max_pages; failed fetches count. The frontier takes each address once, in crawl order.
@@ -133,7 +150,13 @@ def crawl(seeds: DataFrame, web: DataFrame, max_pages: int = 100, max_depth: int
         used = done.groupBy("site").agg(F.count("*").alias("used")) if done is not None else None
         left = left.join(used, "site", "left") if used is not None else left.withColumn("used", F.lit(0))
         left = left.withColumn("k", F.row_number().over(Window.partitionBy("site").orderBy("depth", "at"))).withColumn("pos", F.coalesce("used", F.lit(0)) + F.col("k") - 1).where(F.col("pos") < max_pages)
-        got = left.select("site", "pos", "depth", "url", "key").join(web.withColumnRenamed("url", "web_url"), F.col("url") == F.col("web_url"), "left").drop("web_url")
+        if callable(web):
+            left = materialize(left, "wave-urls")
+            slow = robots.select("site", host_delay(agent)(F.when(F.col("status_code") < 400, F.col("body"))).alias("delay")) if robots is not None else left.select("site", F.lit(0.0).alias("delay")).distinct()
+            answers = materialize(web(left.join(slow, "site", "left").groupBy("url").agg(F.coalesce(F.max("delay"), F.lit(0.0)).alias("delay"))), "wave-answers")
+        else:
+            answers = web
+        got = left.select("site", "pos", "depth", "url", "key").join(answers.withColumnRenamed("url", "web_url"), F.col("url") == F.col("web_url"), "left").drop("web_url")
         got = got.withColumns({"status_code": F.coalesce("status_code", F.lit(0)), "final_url": F.coalesce("final_url", "url"), "error": F.when(F.col("status_code").isNull(), "fetch failed").otherwise(F.col("error")), "x_robots_tag": F.coalesce("x_robots_tag", blank), "redirect_chain": F.coalesce("redirect_chain", blank)})
         got = materialize(got.withColumn("html", F.when(is_html(F.col("content_type")), F.coalesce("html", F.lit(""))).otherwise(F.lit(""))), "wave")
         bad = c.where("reason is not null").select("site", "url", "reason", "key")
@@ -156,6 +179,15 @@ def crawl_report(fetches: DataFrame, skipped: DataFrame) -> DataFrame:
     return a.join(b, "site", "left")
 
 
-def hrefs(html: str) -> list[str]:
-    """frontier_links for one page in Python, for fetchers."""
-    return [h.strip() for h in re.findall(HREF.replace("(?is)", ""), html, re.I | re.S) if h.strip() and not h.strip().startswith("#")]
+def live_crawl(seeds: DataFrame, max_pages: int = 100, max_depth: int = 3, respect_robots: bool = True, use_sitemap: bool = True, include_subdomains: bool = False, agent: str = "webloom", delay: float = 0.2, timeout: float = 10, attempts: int = 3, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Crawl over the network from seeds(site, url): fetches, skipped, and notes(site, robots, sitemap_urls_found). how: get and pause of sources.http.fetched, for tests."""
+    ask = lambda raw: lambda urls: fetched(urls, raw, delay, agent, timeout, attempts, **how)
+    seeds = materialize(seeds.select("site", U.normalize_url("url").alias("url")).where("url is not null"), "seeds")
+    rules = materialize(ask(True)(seeds.select(U.robots_url(F.col("url")).alias("url")).distinct()), "robots-files")
+    robots = seeds.select("site", U.robots_url(F.col("url")).alias("url")).distinct().join(rules, "url", "left")
+    robots = materialize(robots.groupBy("site").agg(F.min_by(F.struct("status_code", F.decode("body", "utf-8").alias("body")), "url").alias("r")).select("site", "r.*"), "robots")
+    listed = materialize(sitemap_urls(sitemap_seeds(seeds, robots), ask(True)), "sitemap-urls") if use_sitemap else None
+    pages, skipped = crawl(seeds, ask(False), max_pages, max_depth, robots if respect_robots else None, listed, agent, include_subdomains)
+    notes = seeds.select("site").distinct().join(robots.select("site", robots_status(F.col("status_code"), F.col("body")).alias("robots")), "site", "left")
+    found = listed.groupBy("site").agg(F.count("*").alias("sitemap_urls_found")) if listed is not None else seeds.select("site", F.lit(0).cast("long").alias("sitemap_urls_found")).distinct()
+    return pages, skipped, notes.join(found, "site", "left").withColumn("sitemap_urls_found", F.coalesce("sitemap_urls_found", F.lit(0)))

@@ -1,4 +1,4 @@
-"""An HTTP fetch source for Spark: spark.read.format("webfetch").option("urls", "...").load(). Off unless registered."""
+"""Fetching over HTTP: fetched() for tables of addresses (the crawl's way), and a source for a given list of addresses, spark.read.format("webfetch").option("urls", "...").load(), which is off unless registered."""
 
 from __future__ import annotations
 
@@ -6,8 +6,13 @@ import time
 import urllib.error
 import urllib.request
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from webloom.functions import urls as U
+
 SCHEMA = "url string, final_url string, status_code int, html string, content_type string, x_robots_tag array<string>, redirect_chain array<string>, error string"
 RETRY = {429, 500, 502, 503, 504}
 
@@ -49,6 +54,42 @@ def fetch(url: str, agent: str = "webloom", timeout: float = 10, attempts: int =
     return url, url, 0, "", None, [], [], error
 
 
+def fetch_bytes(url: str, agent: str = "webloom", timeout: float = 10, attempts: int = 3, get=http_get, pause=time.sleep) -> tuple:
+    """(url, status_code, body); the status is null if no attempt got an answer."""
+    status = body = None
+    for n in range(attempts):
+        if n:
+            pause(0.5 * 2 ** (n - 1))
+        try:
+            _, status, _, body, _ = get(url, agent, timeout)
+        except Exception:  # noqa: BLE001
+            continue
+        if status not in RETRY:
+            break
+    return url, status, body
+
+
+def fetched(urls: DataFrame, raw: bool = False, delay: float = 0.2, agent: str = "webloom", timeout: float = 10, attempts: int = 3, get=http_get, pause=time.sleep) -> DataFrame:
+    """Rows of SCHEMA for urls(url, and delay if hosts ask for more); with raw: url, status_code, body. A host's addresses stand in one task, which waits between them. The result fetches each time it is computed, so write it before it is used twice."""
+    urls = urls.select("url", (F.greatest(F.lit(delay), F.col("delay")) if "delay" in urls.columns else F.lit(delay)).alias("delay"), U.host_of(F.col("url")).alias("host"))
+    one = fetch_bytes if raw else fetch
+    schema = "url string, status_code int, body binary" if raw else SCHEMA
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(frames):
+        last = None
+        for f in frames:
+            rows = []
+            for r in f.itertuples():
+                if r.host == last:
+                    pause(r.delay)
+                last = r.host
+                rows.append(one(r.url, agent, timeout, attempts, get, pause))
+            yield pd.DataFrame(rows, columns=names).astype({"status_code": "Int32"})
+
+    return urls.repartition("host").sortWithinPartitions("host", "url").mapInPandas(run, schema)
+
+
 class WebFetch(DataSource):
     @classmethod
     def name(cls):
