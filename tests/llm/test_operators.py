@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from webloom.llm import decontaminate, jaccard, licenses, mincut_html, packing, quality, repeats, secrets, shard, toxicity
 from webloom.llm.queries import ORACLE, tokenizer_path
+from webloom.llm.shingles import shingle_sets
 
 RNG = np.random.default_rng(3)
 VOCAB = ["".join(RNG.choice(list("abdeiklmnorst"), RNG.integers(2, 9))) for _ in range(400)]
@@ -156,6 +157,35 @@ def test_jaccard_links(spark):
     assert got == {(min(p), max(p)) for p in want} and len(got) > 60
 
 
+def made(plan):
+    """Rows that the joins of a finished plan made, each join's with its description."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return made(plan.executedPlan())
+    if name.endswith("QueryStage"):
+        return made(plan.plan())
+    kids = plan.children()
+    own = [(plan.simpleString(9), plan.metrics().apply("numOutputRows").value())] if "Join" in name else []
+    return sum((made(kids.apply(i)) for i in range(kids.size())), own)
+
+
+def test_jaccard_pair_rows(spark):
+    """Texts that share most of their shingles without a link: a pair makes about one row, not one for each shared shingle, and no link among them is lost."""
+    shared = prose(640)
+    texts = [f"{shared} {prose(240)}" for _ in range(24)]
+    texts += [changed(t, 100, 300, 700 + i) for i, t in enumerate(texts[:6])]
+    sets = list(shingle_sets([t.encode() for t in texts]))
+    ids = [jaccard.class_of(s) for s in sets]
+    links = {(min(ids[i], ids[j]), max(ids[i], ids[j])) for i in range(len(ids)) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    _, classes, lists = jaccard._entries(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    members = lists.withColumn("comp", F.col("class"))
+    pairs = jaccard._pairs(jaccard._open(members), classes, "comp <> hub_comp")
+    got = {(r.a, r.b) for r in pairs.collect()}
+    assert len(links) >= 6 and links <= got
+    rows = [n for what, n in made(pairs._jdf.queryExecution().executedPlan()) if "hub_comp" in what]
+    assert len(rows) == 1 and len(links) <= rows[0] <= 1.3 * 30 * 29 / 2, rows
+
+
 def test_least_shared():
     """No pair of linked sets shares fewer prefix shingles than the bound, by random sets that just link."""
     least = []

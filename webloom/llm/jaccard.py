@@ -13,9 +13,11 @@ Two texts link when the Jaccard similarity of their sets of 5-word shingles is T
    that is the same in every list. Links so verified join classes into groups; lists within one group
    are done. Rounds go on, with other draws, as long as they join groups and the lists left hold
    more than PAIRS_A_ROW pairs of different groups for each row of all lists.
-5. Then every pair of classes from different groups is held against each other that shares enough
-   shingles of the two prefixes that its own sizes ask for; so no link between groups is missed, and
-   few pairs inside a group are made.
+5. Then every pair of classes from different groups is held against each other that shares a shingle
+   of its own prefixes: as a pair shares least_shared(n, m) listed shingles, so many of them stand from
+   the first shared one on, in any order. In these lists the order is by their length, shortest first.
+   A pair is made at the first shared shingle; a row that sees a shared one among the EARLIER before it
+   makes none. So no link between groups is missed, and few pairs are made twice or inside a group.
 6. Pairs go on to verification if a bitmap of BITS parities allows a link: bits in which two sets'
    parities differ are at most the shingles that only one of them has, so no link is lost. Within
    the lists the same is tried first with the bitmap folded to FOLDED bits, which stays one of parities.
@@ -38,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.llm.components import components
@@ -52,7 +54,7 @@ CHUNK = 128  # classes in one index
 BROADCAST_ROWS = 500_000  # of (id, id, id) rows
 BITS = 2048  # of a set's bitmap
 FOLDED = 256
-SPARE = 200  # a pair's prefixes are longer by one shingle for each so many than they need be; it has to share as many more
+EARLIER = 8  # shingles of a class that a row of its lists carries, to see whether a pair was made before
 HUBS = 4  # classes that a list is held against in a round
 PAIRS_A_ROW = 64  # pairs of different groups for each row of the lists, from which on another round is worth its cost
 _BITMAP = [f"b{i}" for i in range(FOLDED // 64)]
@@ -116,7 +118,7 @@ def _prefixes(heavy: np.ndarray):
     def run(batches):
         done: set[int] = set()
         for b in batches:
-            tokens, classes, sizes, places = [], [], [], []
+            tokens, classes, sizes = [], [], []
             for s in shingle_sets(column_bytes(b.column(0))):
                 n = len(s)
                 if not n or (c := class_of(s)) in done:
@@ -129,27 +131,26 @@ def _prefixes(heavy: np.ndarray):
                 tokens.append(s[:p])
                 classes.append(np.full(p, c, dtype=np.int64))
                 sizes.append(np.full(p, n, dtype=np.int32))
-                places.append(np.arange(p, dtype=np.int32))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], names=["token", "class", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(sizes))], names=["token", "class", "n"])
 
     return run
 
 
 def _lists(batches):
-    """Of rows (token, class, n, pos) sorted by the first two, those of tokens with several classes, each class once. need: least_shared() at best, with any size between the list's least and largest (1 for a list that goes over several batches)."""
+    """Of rows (token, class, n) sorted by the first two, those of tokens with several classes, each class once. need: least_shared() at best, with any size between the list's least and largest (1 for a list that goes over several batches)."""
     sent = last = held = None  # the token of which rows went on, the last row's token and class, the one row of a token not sent yet
     for b in batches:
-        t, c, n, at_ = (b.column(i).to_numpy() for i in range(4))
+        t, c, n = (b.column(i).to_numpy() for i in range(3))
         if not len(t):
             continue
         new = np.ones(len(t), dtype=bool)
         new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
         new[0] = (t[0], c[0]) != last
         last = (t[-1], c[-1])
-        t, c, n, at_ = t[new], c[new], n[new], at_[new]
+        t, c, n = t[new], c[new], n[new]
         if held is not None:
-            t, c, n, at_ = (np.concatenate([x, y]) for x, y in zip(held, (t, c, n, at_), strict=True))
+            t, c, n = (np.concatenate([x, y]) for x, y in zip(held, (t, c, n), strict=True))
         if not len(t):
             continue
         at = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
@@ -162,10 +163,10 @@ def _lists(batches):
         low, high = np.maximum(low, -(-NUM * own // DEN)), np.minimum(high, DEN * own // NUM)
         need = np.maximum(1, np.minimum(least_shared(own, np.minimum(low, own)), least_shared(own, np.maximum(high, own))) - 1)  # between the ends it falls short by 1 at most, as it is rounded
         need[: size[0]] = need[len(t) - size[-1] :] = 1
-        held = None if several[-1] else (t[-1:], c[-1:], n[-1:], at_[-1:])
+        held = None if several[-1] else (t[-1:], c[-1:], n[-1:])
         sent = t[-1] if several[-1] else None
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(t[keep]), pa.array(c[keep]), pa.array(n[keep]), pa.array(need[keep].astype(np.int32)), pa.array(at_[keep])], names=["token", "class", "n", "need", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(t[keep]), pa.array(c[keep]), pa.array(n[keep]), pa.array(need[keep].astype(np.int32))], names=["token", "class", "n", "need"])
 
 
 class DivideSkip:
@@ -251,12 +252,12 @@ def _entries(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     folded = [F.expr(" ^ ".join(f"bits[{j}]" for j in range(i, BITS // 64, len(_BITMAP)))).alias(b) for i, b in enumerate(_BITMAP)]
     classes = materialize(classes.select("*", *folded), "jaccard-classes")
 
-    entries = docs.select("text").mapInArrow(releasing(_prefixes(heavy)), "token long, class long, n int, pos int")
+    entries = docs.select("text").mapInArrow(releasing(_prefixes(heavy)), "token long, class long, n int")
     entries = entries.repartition("token").sortWithinPartitions("token", "class")
-    lists = materialize(entries.mapInArrow(releasing(_lists), "token long, class long, n int, need int, pos int"), "jaccard-all-lists")
+    lists = materialize(entries.mapInArrow(releasing(_lists), "token long, class long, n int, need int"), "jaccard-all-lists")
     needs = lists.groupBy("class").agg(F.array_sort(F.collect_list("need")).alias("needs"))  # no more than a prefix holds
     can = needs.where(F.exists(F.transform("needs", lambda v, i: v <= i + 1), lambda x: x)).select("class")
-    out = materialize(lists.join(can, "class", "left_semi").select("token", "class", "n", "pos"), "jaccard-lists")
+    out = materialize(lists.join(can, "class", "left_semi").select("token", "class", "n"), "jaccard-lists")
     discard(lists)
     return sets, classes, out
 
@@ -298,8 +299,7 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 links = found if links is None else links.union(found)
                 group = materialize(components(links), "jaccard-groups")
                 members = lists.join(in_group(group).select("class", "comp"), "class")
-                still = members.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-                members = materialize(members.join(still, "token", "left_semi"), "jaccard-open")
+                members = materialize(_open(members), "jaccard-open")
             own = members.groupBy("token", "comp").count().groupBy("token").agg(F.sum("count").alias("n"), F.sum(F.col("count").cast("double") * F.col("count")).alias("s"))
             left = own.agg(F.sum((F.col("n").cast("double") * F.col("n") - F.col("s")) / 2).alias("pairs")).first()
             round_ += 1
@@ -313,18 +313,30 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return sets, materialize(of.select("class", "comp").join(stands, "comp").select("class", "row"), "jaccard-found")
 
 
+def _open(members: DataFrame) -> DataFrame:
+    """Of members(token, class, n, comp) the lists of several groups, with their length and the least and largest n in them."""
+    of = members.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("length"), F.min("n").alias("low"), F.max("n").alias("high"))
+    return members.join(of.where("x <> y").drop("x", "y"), "token")
+
+
+def _shared(n: str, m: str) -> str:
+    """SQL: least_shared(n, m)."""
+    return f"(({NUM} * ({n} + {m}) + {NUM + DEN - 1}) div {NUM + DEN} - ({NUM} * greatest({n}, {m}) + {DEN - 1}) div {DEN} + 1)"
+
+
 def _pairs(members: DataFrame, classes: DataFrame, more: str) -> DataFrame:
-    """Pairs (a, b) of classes that share a list and may link by their sizes and bitmaps. members: token, class, n, pos, comp."""
-    own = members.join(classes.select("class", *_BITMAP), "class")
-    x, y = own.alias("x"), own.select("token", F.col("class").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"), F.col("pos").alias("hub_pos"), *_BITMAP).alias("y")
+    """Pairs (a, b) of classes that share a list and may link by their sizes and bitmaps. members: as _open() returns them."""
+    order = Window.partitionBy("class").orderBy(F.desc("length"), F.desc("token"))
+    # left: listed shingles of the class from this one on; earlier: those just before it
+    own = members.withColumn("left", F.row_number().over(order)).withColumn("earlier", F.collect_list("token").over(order.rowsBetween(1, EARLIER)))
+    least = f"least(n, greatest(low, ({NUM} * n + {DEN - 1}) div {DEN}))", f"greatest(n, least(high, {DEN} * n div {NUM}))"
+    own = own.where(f"left >= least({_shared('n', least[0])}, {_shared('n', least[1])}) - 1")  # with any size between, see _lists()
+    own = own.join(classes.select("class", *_BITMAP), "class").select("token", "class", "n", "comp", "left", "earlier", *_BITMAP)
+    x, y = own.alias("x"), own.withColumnsRenamed({c: f"hub_{c}" for c in ("n", "comp", "left", "earlier")} | {"class": "hub"}).alias("y")
     differ = " + ".join(f"bit_count(x.{b} ^ y.{b})" for b in _BITMAP)
-    need = f"(({NUM} * (n + hub_n) + {NUM + DEN - 1}) div {NUM + DEN})"  # of overlap
-    # prefixes of n - need + 1 + spare shingles share 1 + spare of them at least, by the reasoning of least_shared()
-    spare = f"least(least(n, hub_n) div {SPARE}, {need} - (({NUM} * greatest(n, hub_n) + {DEN - 1}) div {DEN}))"
-    both = f"x.pos <= n - {need} + {spare} and hub_pos <= hub_n - {need} + {spare}"
-    fits = F.expr(f"x.token = y.token and class < hub and {more} and {_FITS} and {both} and {_allowed(differ)}")
-    pairs = x.join(y, fits).groupBy("class", "hub", "n", "hub_n").agg(F.count("*").alias("shared"))
-    return _filtered(pairs.where(f"shared > {spare}"), classes)
+    first = f"least(left, hub_left) >= {_shared('n', 'hub_n')} and not arrays_overlap(earlier, hub_earlier)"
+    fits = F.expr(f"x.token = y.token and class < hub and {more} and {_FITS} and {_allowed(differ)} and {first}")
+    return _filtered(x.join(y, fits).select("class", "hub", "n", "hub_n").distinct(), classes)
 
 
 def jaccard_links(docs: DataFrame) -> DataFrame:
@@ -332,7 +344,7 @@ def jaccard_links(docs: DataFrame) -> DataFrame:
     with small_batches(docs.sparkSession):
         docs = _texts(docs)
         _, classes, lists = _entries(docs)
-        links = _verified(_pairs(lists.withColumn("comp", F.col("class")), classes, "true"), docs, classes, "all")
+        links = _verified(_pairs(_open(lists.withColumn("comp", F.col("class"))), classes, "true"), docs, classes, "all")
         one = lambda c: classes.select(F.col("class").alias(c), F.col("row.doc_id").alias(f"{c}_id"))
         ends = links.join(one("u"), "u").join(one("v"), "v")
         return ends.select(F.least("u_id", "v_id").alias("a"), F.when(F.col("u_id").isNotNull() & F.col("v_id").isNotNull(), F.greatest("u_id", "v_id")).alias("b"))
