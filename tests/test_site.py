@@ -40,6 +40,23 @@ def test_parse_recovers():
     assert extract_page(None, None)["text"] == "" and extract_page("<<<", "x")["title"] is None
 
 
+def test_open_references_stay():
+    """A name after & without its semicolon, or an unknown one, is text, as where a title was cut inside of a reference."""
+    x = extract_page('<title>a &amp;&amp</title><p>R&D &copy; &copyx; &am &#65; &lt;b&gt; &amp;lt;</p><a href="/x?a=1&copy=2&amp;b=3&lt">q&amp</a><script type="application/ld+json">{"@type": "Store", "name": "A &amp B"}</script>', "https://m.example/p")
+    assert x["title"] == "a &&amp" and x["text"] == "a &&amp R&D © &copyx; &am A <b> &lt; q&amp"
+    assert x["links"] == [{"href": "https://m.example/x?a=1&b=3&copy=2&lt=", "anchor_text": "q&amp"}]
+    assert json.loads(x["structured_data"][0])["name"] == "A &amp B"
+
+
+def test_workers_get_few_pages_at_a_time(spark, monkeypatch):
+    """What is found on a page leaves the worker before the next ones of a large batch are parsed."""
+    from webloom.operators import extract as E
+
+    monkeypatch.setattr(E, "AT_ONCE", 2)
+    whole = lift_pages(spark.range(7).selectExpr("id AS page_id", "'https://m.example/' || id AS url", "'<title>t' || id || '</title>' AS html").coalesce(1))
+    assert sorted((r.pos, r.title) for r in extract(whole).collect()) == [(i, f"t{i}") for i in range(7)]
+
+
 def test_content_and_structures():
     root = parse(CLEAN)
     assert "About the company we are" not in content_blocks(root) and content_blocks(root)[0].startswith("We repair")
