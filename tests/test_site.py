@@ -57,6 +57,15 @@ def test_workers_get_few_pages_at_a_time(spark, monkeypatch):
     assert sorted((r.pos, r.title) for r in extract(whole).collect()) == [(i, f"t{i}") for i in range(7)]
 
 
+def test_built_pages_are_dealt_out(spark, tmp_path):
+    """Rows of one small file become pages in many tasks."""
+    from webloom.plans import built
+
+    spark.range(200).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    tasks = built.fetches(spark, str(tmp_path)).select(F.spark_partition_id().alias("t"), "pos").collect()
+    assert len(tasks) == 200 and len({r.t for r in tasks}) > 4
+
+
 def test_content_and_structures():
     root = parse(CLEAN)
     assert "About the company we are" not in content_blocks(root) and content_blocks(root)[0].startswith("We repair")
